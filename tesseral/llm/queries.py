@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_counts
+from . import bpe_table, huffman, packing, token_counts
 from .runtime import table
 
 
+def op4_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_table.encode_decode(table(spark, sf_dir, "documents"))
+
+
 def op5_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -16,4 +20,8 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_prefix_token_counts, op7_best_fit_packing)}
+def op10_huffman_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.huffman_round_trip(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_distinct_word_bpe, op5_prefix_token_counts, op7_best_fit_packing, op10_huffman_token_ids)}
