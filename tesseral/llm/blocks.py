@@ -105,7 +105,12 @@ def asked(rows: DataFrame, ask: Callable[[Block, int], dict[int, bytes]]) -> Dat
 
 def answered(questions: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
     """(block, bucket, answer): answer() sees all of one bucket's packed questions and replies to each."""
-    return questions.groupBy("bucket").applyInArrow(functools.partial(_answer, answer=answer), "block binary, bucket int, answer binary")
+
+
+    def reply(t):  # without hints: Spark reads them to choose how to call it
+        return _answer(t, answer)
+
+    return questions.groupBy("bucket").applyInArrow(reply, "block binary, bucket int, answer binary")
 
 
 def _meet(left: pa.Table, right: pa.Table, finish: Callable) -> pa.Table:
@@ -125,4 +130,8 @@ def met(data: DataFrame, answers: list[DataFrame], finish: Callable[[Block, dict
     for k, a in enumerate(answers):
         a = a.withColumn("kind", F.lit(k))
         all_answers = a if all_answers is None else all_answers.unionByName(a)
-    return data.groupBy("block").cogroup(all_answers.groupBy("block")).applyInArrow(functools.partial(_meet, finish=finish), schema)
+
+    def meet(left, right):
+        return _meet(left, right, finish)
+
+    return data.groupBy("block").cogroup(all_answers.groupBy("block")).applyInArrow(meet, schema)

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_table, huffman, packing, token_counts
+from . import bpe_table, huffman, packing, simhash, token_counts
 from .runtime import table
 
 
+def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_table.encode_decode(table(spark, sf_dir, "documents"))
 
@@ -24,4 +28,4 @@ def op10_huffman_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.huffman_round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_distinct_word_bpe, op5_prefix_token_counts, op7_best_fit_packing, op10_huffman_token_ids)}
+QUERIES = {f.__name__: f for f in (op2_simhash_pivots, op4_distinct_word_bpe, op5_prefix_token_counts, op7_best_fit_packing, op10_huffman_token_ids)}
