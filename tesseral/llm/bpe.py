@@ -11,14 +11,18 @@ from __future__ import annotations
 import functools
 import json
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 
 GPT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO_WORDS = 500_000
+MEMO_WORDS = 400_000
 MEMO_CHARS = 64
 SEGMENT = 1 << 20
+PLAIN_END = "\u0250"  # letters below are letters in every version of Unicode
+SIGNS = ".,;:!?()[]{}<>|/\\\"#$%&*+-=@^_`~"
 _LOOSE = re.compile(r" (?=\s|$)")
 _CUT = re.compile(r" (?=\S)")
 
@@ -43,21 +47,55 @@ def byte_chars() -> dict[str, int]:
 
 
 class Memo(dict):
-    """A dict that makes missing values and forgets everything when full."""
+    """A dict that makes missing values. When full it keeps one older generation, so common keys survive."""
 
     def __init__(self, make: Callable, cap: int = MEMO_WORDS):
         super().__init__()
-        self.make, self.cap = make, cap
+        self.make, self.cap, self.old = make, cap, {}
 
     def __missing__(self, key):
-        value = self.make(key)
-        if len(key) <= MEMO_CHARS:
-            if len(self) >= self.cap:
-                self.clear()
-            self[key] = value
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > MEMO_CHARS:
+                return value
+        if len(self) >= self.cap:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
 
+def word_memos(plain: Callable[[str], object], other: Callable[[str], object]) -> tuple[Memo, Memo]:
+    """Memos of values that add up over a word's pieces: for words after a space, and for those that begin a text.
+
+    plain(word) makes the value of letters alone, with their space; other(word) that of any word. Letters
+    with signs after them, or lines of such, are put together from their parts: the pre-tokenizer cuts there.
+    """
+    later: Memo
+    first: Memo
+
+    def make(space: str, mine: Callable[[], Memo]) -> Callable:
+        def value(word: str):
+            if word.isalpha() and max(word) < PLAIN_END:
+                return plain(space + word)
+            stem = word.rstrip(SIGNS)
+            if stem and len(stem) < len(word) and stem.isalpha() and max(stem) < PLAIN_END:
+                return mine()[stem] + first[word[len(stem) :]]
+            if "\n" in word and (lines := word.split("\n")) == word.split() and len(word) <= 4 * MEMO_CHARS:
+                out = mine()[lines[0]]
+                for x in lines[1:]:
+                    out = out + first["\n"] + first[x]
+                return out
+            return other(space + word)
+
+        return value
+
+    later = Memo(make(" ", lambda: later))
+    first = Memo(make("", lambda: first), MEMO_WORDS // 2)
+    return later, first
+
+
 class Vocabulary:
     """A byte-level BPE read from a tokenizer file, with ids equal to the tokenizers library's."""
 
@@ -91,7 +129,7 @@ class Vocabulary:
     def word_ids(self, word: str) -> list[int]:
         """Ids of one cut part of a text; a plain word is one piece and skips the pattern."""
         core = word[1:] if word[:1] == " " else word
-        if core.isalpha() and max(core) < "ɐ":
+        if core.isalpha() and max(core) < PLAIN_END:
             return self.single(word.encode())
         return self.core.encode_ordinary(word)
 
@@ -136,9 +174,15 @@ class PackedEncoder:
 
     def __init__(self, path: str, kind: str = "<u4"):
         self.vocabulary = v = Vocabulary(path)
-        pack = lambda ids: np.array(ids, kind).tobytes()
-        self.later = Memo(lambda w: pack(v.word_ids(" " + w)))
-        self.first = Memo(lambda w: pack(v.word_ids(w)), 50_000)
+        code, swap = {"<u4": "I", "<u2": "H"}[kind], sys.byteorder == "big"
+
+        def pack(ids: list[int]) -> bytes:
+            a = array(code, ids)
+            if swap:
+                a.byteswap()
+            return a.tobytes()
+
+        self.later, self.first = word_memos(lambda w: pack(v.single(w.encode())), lambda w: pack(v.word_ids(w)))
         self.marks = {s: pack([i]) for s, i in v.special.items()}
 
     def encode(self, text: str) -> bytes:

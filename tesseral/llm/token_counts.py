@@ -27,32 +27,35 @@ class PrefixCounter:
         self.ranks, self.names = v.ranks, v.pieces
         self.longest = max(map(len, v.ranks))
         self.pairs: dict[int, bool] = {}
-        self.later = bpe.Memo(lambda w: self.word(" " + w))
-        self.first = bpe.Memo(self.word, 50_000)
+        self.later, self.first = bpe.word_memos(lambda w: self.piece(w.encode())[-1], self.word)
 
     def stays(self, left: int, right: int) -> bool:
         """Whether merging leaves these two tokens as they are, side by side."""
         key = left << 20 | right
         if (known := self.pairs.get(key)) is None:
             if len(self.pairs) >= 2_000_000:
-                self.pairs.clear()
+                self.pairs.clear()  # the same dict object: piece() holds it
             known = self.pairs[key] = self.vocabulary.single(self.names[left] + self.names[right]) == [left, right]
         return known
 
     def piece(self, b: bytes) -> list[int]:
         """Token counts of all prefixes of one pre-tokenized piece, at 0 to len(b) bytes."""
         count, last, get, longest = [0] * (len(b) + 1), [0] * (len(b) + 1), self.ranks.get, self.longest
+        pairs = self.pairs
         for i in range(1, len(b) + 1):
-            for start in range(max(0, i - longest), i):
-                t = get(b[start:i])
-                if t is not None and (not start or self.stays(last[start], t)):
+            for start in range(i - longest if i > longest else 0, i):
+                if (t := get(b[start:i])) is not None:
+                    if start:
+                        ok = pairs.get(last[start] << 20 | t)
+                        if not (self.stays(last[start], t) if ok is None else ok):
+                            continue
                     count[i], last[i] = count[start] + 1, t
                     break
         return count
 
     def pieces(self, word: str) -> list[str]:
         core = word[1:] if word[:1] == " " else word
-        if core.isalpha() and max(core) < "ɐ":
+        if core.isalpha() and max(core) < bpe.PLAIN_END:
             return [word]
         return _pattern().findall(word)
 
