@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_table, huffman, packing, simhash, token_counts
+from . import bpe_table, huffman, packing, quality, sharding, simhash, token_counts
 from .runtime import table
 
 
+def op1_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
 
@@ -20,6 +24,10 @@ def op5_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.stratified_shards(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"))
 
@@ -28,4 +36,4 @@ def op10_huffman_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.huffman_round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_pivots, op4_distinct_word_bpe, op5_prefix_token_counts, op7_best_fit_packing, op10_huffman_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_weak_supervision, op2_simhash_pivots, op4_distinct_word_bpe, op5_prefix_token_counts, op6_stratified_shards, op7_best_fit_packing, op10_huffman_token_ids)}

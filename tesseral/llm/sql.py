@@ -1,3 +1,33 @@
 """DuckDB SQL for those queries that SQL can express."""
 
-ORACLE: dict[str, str] = {}
+CRC_TABLE = []
+for _k in range(256):
+    for _ in range(8):
+        _k = _k >> 1 ^ (0xEDB88320 if _k & 1 else 0)
+    CRC_TABLE.append(_k)
+
+OP6 = f"""
+with docs as (
+  select doc_id, source, coalesce(text, '') as t, coalesce('s' || source, 'n') as s,
+         md5('17:' || coalesce(doc_id::varchar, 'null')) as h
+  from documents),
+bytes as (
+  select *, hex(encode(t)) as x, strlen(t) as n from docs),
+sums as (
+  select doc_id, source, s, h, (n + 8)::bigint as size,
+         xor(4294967295, list_reduce(
+           [4294967295::bigint] || list_transform(range(n), lambda i: (('0x' || x[2 * i + 1 : 2 * i + 2])::bigint)),
+           lambda c, b: xor(c >> 8, ({CRC_TABLE}::bigint[])[(xor(c, b) & 255) + 1])))::bigint as text_crc32
+  from bytes),
+ranked as (
+  select *, (row_number() over (partition by s order by h, text_crc32, size, doc_id) - 0.5::double)
+            / count(*) over (partition by s) as f
+  from sums),
+placed as (
+  select *, row_number() over (order by f, s, h, text_crc32, size, doc_id) - 1 as p, count(*) over () as n from ranked)
+select doc_id, size, text_crc32, 'rows' as law, (p * 24 // n)::int as shard,
+       (p - ((p * 24 // n) * n + 23) // 24)::bigint as slot, null::int as grown_shard, source
+from placed
+"""
+
+ORACLE: dict[str, str] = {"op6_stratified_shards": OP6}
