@@ -16,7 +16,7 @@ bytes as (
 sums as (
   select doc_id, source, s, h, (n + 8)::bigint as size,
          xor(4294967295, list_reduce(
-           [4294967295::bigint] || list_transform(range(n), lambda i: (('0x' || x[2 * i + 1 : 2 * i + 2])::bigint)),
+           [4294967295::bigint] || list_transform(regexp_extract_all(x, '..'), lambda h: ('0x' || h)::bigint),
            lambda c, b: xor(c >> 8, ({CRC_TABLE}::bigint[])[(xor(c, b) & 255) + 1])))::bigint as text_crc32
   from bytes),
 ranked as (
