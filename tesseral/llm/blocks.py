@@ -28,49 +28,53 @@ ASKED = "block binary, bucket int, asked binary"
 
 
 class Block:
-    """doc ids (None where null) and texts in UTF-8."""
+    """doc ids (None where null), texts in UTF-8, and whatever else the rows carry along, in bytes."""
 
-    def __init__(self, docs: list[int | None], texts: list[bytes]):
-        self.docs, self.texts = docs, texts
+    def __init__(self, docs: list[int | None], texts: list[bytes], extra: list[bytes] | None = None):
+        self.docs, self.texts, self.extra = docs, texts, extra or [b""] * len(docs)
         h = hashlib.blake2b(digest_size=16)
-        for d, t in zip(docs, texts):
-            h.update(b"%d;%d;%d;" % (d is None, d or 0, len(t)))
+        for d, t, e in zip(docs, texts, self.extra):
+            h.update(b"%d;%d;%d;%d;" % (d is None, d or 0, len(t), len(e)))
             h.update(t)
+            h.update(e)
         self.name = h.digest()
 
     def dump(self) -> bytes:
         ids = np.array([d or 0 for d in self.docs], "<i8").tobytes()
         none = np.array([d is None for d in self.docs], np.uint8).tobytes()
         sizes = np.array([len(t) for t in self.texts], "<i8").tobytes()
-        return zstandard.ZstdCompressor(3).compress(np.array([len(self.docs)], "<i8").tobytes() + ids + none + sizes + b"".join(self.texts))
+        more = np.array([len(e) for e in self.extra], "<i8").tobytes()
+        return zstandard.ZstdCompressor(3).compress(np.array([len(self.docs)], "<i8").tobytes() + ids + none + sizes + more + b"".join(self.texts) + b"".join(self.extra))
 
     @classmethod
     def load(cls, data: bytes) -> Block:
         raw = zstandard.ZstdDecompressor().decompress(data)
         n = int(np.frombuffer(raw, "<i8", 1)[0])
         ids, none = np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, np.uint8, n, 8 + 8 * n)
-        end = np.cumsum(np.frombuffer(raw, "<i8", n, 8 + 9 * n))
-        base, texts, last = 8 + 17 * n, [], 0
-        for e in end.tolist():
-            texts.append(raw[base + last : base + e])
-            last = e
-        return cls([None if x else int(d) for d, x in zip(ids, none)], texts)
+        sizes = np.frombuffer(raw, "<i8", 2 * n, 8 + 9 * n)
+        at, parts = 8 + 25 * n, []
+        for size in sizes.tolist():
+            parts.append(raw[at : at + size])
+            at += size
+        return cls([None if x else int(d) for d, x in zip(ids, none)], parts[:n], parts[n:])
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[Block]:
-    docs, texts, size = [], [], 0
+    docs, texts, extra, size = [], [], [], 0
     for b in batches:
-        for d, x in zip(b.column(0).to_pylist(), b.column(1)):
+        more = b.column(2) if b.num_columns > 2 else [None] * b.num_rows
+        for d, x, y in zip(b.column(0).to_pylist(), b.column(1), more):
             t = x.as_buffer()
             t = t.to_pybytes() if t is not None else b""
             if docs and size + len(t) > most:
-                yield Block(docs, texts)
-                docs, texts, size = [], [], 0
+                yield Block(docs, texts, extra)
+                docs, texts, extra, size = [], [], [], 0
             docs.append(d)
             texts.append(t)
+            extra.append(y.as_py().encode() if y is not None and y.is_valid else b"")
             size += len(t)
     if docs:
-        yield Block(docs, texts)
+        yield Block(docs, texts, extra)
 
 
 def _dump(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,9 +93,11 @@ def _answer(t: pa.Table, answer: Callable[[list[bytes]], list[bytes]]) -> pa.Tab
     return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "answer": pa.array(got, pa.binary())})
 
 
-def source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def source(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """Rows for blocks; carry keeps all columns but the text, as JSON."""
     ship(docs.sparkSession)
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    rest = [F.to_json(F.struct(*(docs[c] for c in docs.columns if c != text_col))).alias("extra")] if carry else []
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *rest)
 
 
 def dumped(rows: DataFrame) -> DataFrame:

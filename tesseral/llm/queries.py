@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_table, embed_dedup, huffman, packing, quality, sharding, simhash, token_counts
+from . import bpe_table, embed_dedup, huffman, packing, quality, sharding, simhash, suffix, token_counts
 from .runtime import table
 
 
@@ -16,6 +16,10 @@ def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_table.encode_decode(table(spark, sf_dir, "documents"))
 
@@ -40,4 +44,4 @@ def op10_huffman_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.huffman_round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_weak_supervision, op2_simhash_pivots, op4_distinct_word_bpe, op5_prefix_token_counts, op6_stratified_shards, op7_best_fit_packing, op9_cross_polytope, op10_huffman_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_weak_supervision, op2_simhash_pivots, op3_suffix_cover, op4_distinct_word_bpe, op5_prefix_token_counts, op6_stratified_shards, op7_best_fit_packing, op9_cross_polytope, op10_huffman_token_ids)}

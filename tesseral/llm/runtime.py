@@ -6,6 +6,7 @@ executors share; only where that setting is missing (tests, a laptop) a temporar
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -52,6 +53,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps now; Spark drops them with the driver's last reference."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
