@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_table, embed_dedup, huffman, packing, quality, sharding, simhash, suffix, token_counts
+from . import bpe_table, embed_dedup, huffman, packing, quality, secret_scan, sharding, simhash, suffix, token_counts
 from .runtime import table
 
 
@@ -36,6 +36,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
 
@@ -44,4 +48,4 @@ def op10_huffman_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.huffman_round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_weak_supervision, op2_simhash_pivots, op3_suffix_cover, op4_distinct_word_bpe, op5_prefix_token_counts, op6_stratified_shards, op7_best_fit_packing, op9_cross_polytope, op10_huffman_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_weak_supervision, op2_simhash_pivots, op3_suffix_cover, op4_distinct_word_bpe, op5_prefix_token_counts, op6_stratified_shards, op7_best_fit_packing, op8_secret_ownership, op9_cross_polytope, op10_huffman_token_ids)}
