@@ -187,3 +187,21 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = rows.join(classes(rows, radius), "fp")
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", kept.alias("kept"))
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
+    """One row of each group of near-duplicates, with the columns of docs: the least id's.
+
+    Rows of one id are one document. Rows without an id are named by their text's digest, and stand for
+    their group only where nobody in it has an id.
+    """
+    ship(docs.sparkSession)
+    name = F.coalesce(F.concat(F.lit("="), docs[id_col].cast("string")), F.concat(F.lit("-"), F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)))
+    rows = docs.select(name.alias("__llm_name"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    rows = checkpoint(rows.mapInArrow(lambda it: _fingerprint(it, width), "__llm_name string, doc_id long, fp long"))
+    each = checkpoint(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "__llm_name")).alias("least")))
+    label = components(fingerprint_links(each.select("fp"), radius), "a", "b").withColumnRenamed("node", "fp")
+    groups = each.join(label, "fp", "left").groupBy(F.coalesce("component", "fp").alias("group")).agg(F.min("least").alias("least"))
+    kept = groups.select(F.col("least.__llm_name").alias("__llm_name"))
+    found = docs.withColumn("__llm_name", name).join(kept, "__llm_name", "left_semi")
+    return found.dropDuplicates(["__llm_name"]).drop("__llm_name")
