@@ -336,7 +336,7 @@ class Table:
             frames = {**f.f_globals, **f.f_locals}
         return compile_condition(condition, resolver(self.schema, condvars, frames, self._as_node))
 
-    def where(self, condition: str, condvars: Mapping[str, Any] | None = None, start=None, stop=None, step=None, _depth: int = 3) -> DataFrame:
+    def where(self, condition: str, condvars: Mapping[str, Any] | None = None, start=None, stop=None, step=None, _depth: int = 2) -> DataFrame:
         """Rows that meet a condition, with their numbers. A start alone means that one row."""
         df = self._flushed()
         ranged = not (start is None and stop is None and step in (None, 1))
@@ -349,31 +349,31 @@ class Table:
         return out.where(in_slice(*s)) if ranged else out
 
     def iterwhere(self, condition: str, condvars: Mapping[str, Any] | None = None, start=None, stop=None, step=None) -> Iterator[Any]:
-        return self.where(condition, condvars, start, stop, step, 4).orderBy(NROW).toLocalIterator()
+        return self.where(condition, condvars, start, stop, step, 3).orderBy(NROW).toLocalIterator()
 
     def read_where(self, condition: str, condvars: Mapping[str, Any] | None = None, field: str | None = None, start=None, stop=None, step=None) -> DataFrame:
-        out = self.where(condition, condvars, start, stop, step, 4)
+        out = self.where(condition, condvars, start, stop, step, 3)
         return out.drop(NROW) if field is None else self._fields(out, field)
 
     def get_where_list(self, condition: str, condvars: Mapping[str, Any] | None = None, sort: bool = False, start=None, stop=None, step=None) -> DataFrame:
-        out = self.where(condition, condvars, start, stop, step, 4).select(NROW)
+        out = self.where(condition, condvars, start, stop, step, 3).select(NROW)
         return out.orderBy(NROW) if sort else out
 
     def append_where(self, dst: Table, condition: str | None = None, condvars: Mapping[str, Any] | None = None, start=None, stop=None, step=None) -> int:
         """Appends matching rows to another table; returns how many."""
         from .rows import renumber
 
-        found = self.rows(start, stop, step) if condition is None else self.where(condition, condvars, start, stop, step, 4)
+        found = self.rows(start, stop, step) if condition is None else self.where(condition, condvars, start, stop, step, 3)
         before = dst.nrows
         dst._set(dst.df.unionByName(renumber(found).withColumn(NROW, F.col(NROW) + before).select(*dst.df.columns)), None)
         return dst.nrows - before
 
-    def index_plan(self, condition: str, condvars: Mapping[str, Any] | None = None, _depth: int = 3) -> IndexPlan:
+    def index_plan(self, condition: str, condvars: Mapping[str, Any] | None = None, _depth: int = 2) -> IndexPlan:
         usable = [p for p, i in self.indexes.items() if not i.dirty]
         return index_plan(self.compile(condition, condvars, _depth), usable)
 
     def will_query_use_indexing(self, condition: str, condvars: Mapping[str, Any] | None = None) -> frozenset[str]:
-        return self.index_plan(condition, condvars, 4).columns
+        return self.index_plan(condition, condvars, 3).columns
 
     # sorted reading
 
