@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.condition import is_complex
-from .rows import NROW, positions, slice_of
+from .rows import NROW, in_slice, pieces_for, positions, slice_of
 
 KINDS = ("ultralight", "light", "medium", "full")
 
@@ -55,11 +55,9 @@ class Index:
     def sidecar(self) -> DataFrame:
         """(pos, value, nrow), by value; equal values by nrow."""
         column = F.col(".".join(f"`{p}`" for p in self.path.split("/")))
-        return positions(self._df.select(column.alias("value"), NROW), ["value"])
+        return positions(self._df.select(column.alias("value"), NROW), ["value"], pieces=pieces_for(self.nrows))
 
     def _part(self, start, stop, step) -> DataFrame:
-        from .rows import in_slice
-
         return self.sidecar().where(in_slice(*slice_of(start, stop, step, self.nrows)))
 
     def read_sorted(self, start=None, stop=None, step=None) -> DataFrame:

@@ -100,7 +100,12 @@ def removed_before(start: int, stop: int, step: int, at: str = NROW) -> Column:
     return F.greatest(F.lit(0), F.expr(f"(least({at}, {stop}L) - {start}L + {step - 1}L) div {step}L")) if stop > start else c * 0
 
 
-def positions(df: DataFrame, keys: list[str], out: str = "pos", pieces: int = 256) -> DataFrame:
+def pieces_for(n: int) -> int:
+    """Ranges of a sort over n rows."""
+    return max(16, min(1024, n // 500_000))
+
+
+def positions(df: DataFrame, keys: list[str], out: str = "pos", pieces: int = 32) -> DataFrame:
     """Adds each row's place in the order of keys, then nrow.
 
     Approximate quantiles of the first key cut the rows into ranges; a row's place is its number within
@@ -113,9 +118,15 @@ def positions(df: DataFrame, keys: list[str], out: str = "pos", pieces: int = 25
         got = df.agg(F.percentile_approx(first, [k / pieces for k in range(1, pieces)], 4 * pieces)).first()[0]
         cuts = sorted(set(got or []))
     if cuts:
-        # ranges alternate: strictly between two cuts, and equal to one
-        bounds = F.array(*[F.lit(c) for c in cuts])
-        part = F.size(F.filter(bounds, lambda b: b < F.col(first))) * 2 + F.when(F.array_contains(bounds, F.col(first)), 1).otherwise(0)
+        # ranges alternate: strictly between two cuts, and equal to one; found by bisection, in generated code
+        def search(lo: int, hi: int) -> Column:
+            if lo == hi:
+                return F.lit(2 * lo)
+            mid = (lo + hi) // 2
+            cut = F.lit(cuts[mid])
+            return F.when(F.col(first) < cut, search(lo, mid)).when(F.col(first) == cut, F.lit(2 * mid + 1)).otherwise(search(mid + 1, hi))
+
+        part = search(0, len(cuts))
     else:
         part = F.lit(0)
     rows = df.withColumn("__p", part).withColumn("__q", F.when(F.col("__p") % 2 == 1, F.expr(f"{NROW} div {RANGE}")).otherwise(0) if len(keys) == 1 else F.lit(0))

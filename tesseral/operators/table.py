@@ -19,7 +19,7 @@ from ..functions.condition import Node, column_node, compile_condition, resolver
 from ..plans.index_plan import IndexPlan, index_plan
 from ..types import Col, Description
 from .index import Index, IndexInfo, check_indexable
-from .rows import NROW, coordinates, gather, in_slice, positions, query_slice, read_numbered, removed_before, slice_of
+from .rows import NROW, coordinates, gather, in_slice, pieces_for, positions, query_slice, read_numbered, removed_before, slice_of
 
 
 def quoted(path: str) -> Column:
@@ -406,7 +406,7 @@ class Table:
             out = end.withColumn("pos", (n - F.row_number().over(Window.orderBy(key.desc(), F.col(NROW).desc()))).cast("long"))
         else:
             keyed = df.withColumn("__key", key)
-            out = positions(keyed, ["__key"]).drop("__key")
+            out = positions(keyed, ["__key"], pieces=pieces_for(n)).drop("__key")
         return out.where(in_slice(*s, at="pos"))
 
     def read_sorted(self, sortby: str | ColumnHandle, checkCSI: bool = False, field: str | None = None, start=None, stop=None, step=None) -> DataFrame:
