@@ -17,6 +17,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from . import blocks, bpe
@@ -57,10 +58,19 @@ def _by_bucket(seen, buckets: int) -> dict[int, list[str]]:
 def _pack(words: list[str]) -> bytes:
     """Words begin a text (marked by a line feed, which no other word begins with) or follow a space."""
     data = [w.encode() for w in words]
-    return np.array([len(data), *map(len, data)], "<u4").tobytes() + b"".join(data)
+    return _squeeze(np.array([len(data), *map(len, data)], "<u4").tobytes() + b"".join(data))
+
+
+def _squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(3).compress(data)
+
+
+def _expand(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
 def _unpack(data: bytes) -> list[bytes]:
+    data = _expand(data)
     n = int(np.frombuffer(data, "<u4", 1)[0])
     end = np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64).tolist()
     body, at, out = data[4 + 4 * n :], 0, []
@@ -86,12 +96,12 @@ def answer(questions: list[bytes], path: str) -> list[bytes]:
                 text = w.decode()
                 got = table[w] = np.array(v.word_ids(text[1:] if text[:1] == "\n" else " " + text), "<u4").tobytes()
             ids.append(got)
-        out.append(np.array([len(x) // 4 for x in ids], "<u4").tobytes() + b"".join(ids))
+        out.append(_squeeze(np.array([len(x) // 4 for x in ids], "<u4").tobytes() + b"".join(ids)))
     return out
 
 
 def _ids_of(words: list[str], data: bytes) -> dict[str, bytes]:
-    n = len(words)
+    n, data = len(words), _expand(data)
     end = (4 * np.cumsum(np.frombuffer(data, "<u4", n), dtype=np.int64)).tolist()
     body, at, out = data[4 * n :], 0, {}
     for w, e in zip(words, end):
