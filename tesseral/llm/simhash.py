@@ -15,6 +15,7 @@ is null where nobody in it has an id. Repeated rows come back once each. Empty t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -189,18 +190,158 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", kept.alias("kept"))
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
+# Groups of similar documents, for filtering: wider shingles, and pairs much farther apart than RADIUS
+
+WORDS, SIMILAR = 5, 0.8
+STREAMS, TABLES, FLIPS, NARROW = 4, 12, 3, 16
+_STREAM = [np.uint64(x) for x in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
+
+def bits_apart(similarity: float, slack: float = 0.02) -> int:
+    """Differing bits of STREAMS fingerprints that two sets of this Jaccard similarity stay below, nearly always."""
+    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int((angle + slack) * 64 * STREAMS)
+
+
+def profile(text: bytes, width: int = WORDS) -> tuple[list[int], bytes]:
+    """STREAMS fingerprints, and the first one's bit positions from the least to the most certain."""
+    hs = shingle_hashes(text, width)
+    if not hs:
+        return [0] * STREAMS, bytes(range(64))
+    h = np.array(hs, np.uint64)
+    out, order = [], b""
+    for k, salt in enumerate(_STREAM):
+        x = h
+        if k:
+            x = (h ^ (h >> np.uint64(31))) * salt
+            x ^= x >> np.uint64(29)
+        sums = np.zeros(64, np.int64)
+        for at in range(0, len(x), CHUNK):
+            sums += _bits(x[at : at + CHUNK]).sum(0, dtype=np.int64)
+        margin = 2 * sums - len(x)
+        out.append(int(np.packbits(margin > 0, bitorder="little").view("<u8")[0]))
+        if not k:
+            order = np.argsort(np.abs(margin), kind="stable").astype(np.uint8).tobytes()
+    return out, order
+
+
+def _profiles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        prints, orders = [], []
+        for x in b.column(2):
+            t = x.as_buffer()
+            f, o = profile(t.to_pybytes() if t is not None else b"", width)
+            prints.append(f)
+            orders.append(o)
+        f = np.array(prints, np.uint64).reshape(-1, STREAMS).view(np.int64)
+        yield pa.record_batch([*b.columns[:2], *(pa.array(f[:, k]) for k in range(STREAMS)), pa.array(orders, pa.binary())], [*b.schema.names[:2], "fp", *(f"wide{k}" for k in range(1, STREAMS)), "unsure"])
+
+
+def probe_keys(fp: np.ndarray, unsure: np.ndarray, width: int) -> np.ndarray:
+    """(rows, TABLES, 2**FLIPS) keys: in each table ``width`` bits, with every subset of the least certain FLIPS of them flipped."""
+    n = len(fp)
+    bits = _bits(fp).astype(np.int64)
+    rank = np.empty((n, 64), np.int64)
+    np.put_along_axis(rank, unsure.astype(np.int64), np.arange(64)[None, :].repeat(n, 0), 1)
+    out = np.zeros((n, TABLES, 1 << FLIPS), np.int64)
+    for t in range(TABLES):
+        chosen = np.random.default_rng([41, t]).permutation(64)[:width]
+        weight = np.int64(1) << np.arange(width, dtype=np.int64)
+        base = bits[:, chosen] @ weight
+        weak = weight[np.argpartition(rank[:, chosen], FLIPS, axis=1)[:, :FLIPS]]
+        for m in range(1 << FLIPS):
+            flip = sum((weak[:, j] for j in range(FLIPS) if m >> j & 1), np.zeros(n, np.int64))
+            out[:, t, m] = np.int64(t) << np.int64(48) | (base ^ flip)
+    return out
+
+
+def _probes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    first = pivots()[0]
+    for b in batches:
+        if not b.num_rows:
+            continue
+        fp = b.column(0).to_numpy().view(np.uint64)
+        unsure = np.frombuffer(b"".join(x.as_py() for x in b.column(1)), np.uint8).reshape(-1, 64)
+        for at in range(0, len(fp), 2000):
+            part = fp[at : at + 2000]
+            keys = probe_keys(part, unsure[at : at + 2000], width)
+            per = keys.shape[1] * keys.shape[2]
+            near = np.bitwise_count(part ^ first).astype(np.int16)
+            yield pa.record_batch([pa.array(keys.reshape(-1)), pa.array(np.repeat(near, per)), pa.array(np.repeat(part.view(np.int64), per))], ["key", "near", "fp"])
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that share a key and that neither the pivots nor the narrow fingerprint tell apart."""
+    held = None
+
+    def found(key, near, fp):
+        table = np.bitwise_count(fp[:, None] ^ pivots()[None, :]).astype(np.int8)
+        left, right, active, step = [], [], np.arange(len(fp)), 1
+        while True:
+            active = active[active + step < len(fp)]
+            active = active[(key[active] == key[active + step]) & (near[active + step] - near[active] <= NARROW)]
+            if not len(active):
+                break
+            other = active + step
+            i = active[np.abs(table[active] - table[other]).max(1) <= NARROW]
+            i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= NARROW]
+            left.append(fp[i])
+            right.append(fp[i + step])
+            step += 1
+        none = np.zeros(0, np.uint64)
+        a, b = np.concatenate([none, *left]).view(np.int64), np.concatenate([none, *right]).view(np.int64)
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        both = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+        return pa.record_batch([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)]
+        rows = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))
+        if cut:
+            yield found(*(r[:cut] for r in rows))
+        held = [r[cut:] for r in rows]
+    if held is not None:
+        yield found(*held)
+
+
+def similar_links(each: DataFrame, n: int, similarity: float = SIMILAR) -> DataFrame:
+    """(a, b): links of the distinct fingerprints ``fp`` whose wide fingerprints are as near as the similarity asks.
+
+    A pair at 0.8 differs in about 10 of 64 bits, beyond what groups of equal bits find; but the bits that
+    differ are those of small majorities. So each fingerprint also stands under the keys in which its least
+    certain bits are flipped (measured recall above 0.99 at 0.8). Key width grows with the number of rows.
+    """
+    spark = each.sparkSession
+    width = min(40, max(12, (max(n, 2) - 1).bit_length() + 1))
+    rows = each.select("fp", "unsure").mapInArrow(lambda it: _probes(it, width), "key long, near short, fp long")
+    rows = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "near")
+    pairs = rows.mapInArrow(_similar, "a long, b long").distinct()
+    wide = [f"wide{k}" for k in range(1, STREAMS)]
+    for side in ("a", "b"):
+        pairs = pairs.join(each.select(F.col("fp").alias(side), *[F.col(w).alias(f"{side}_{w}") for w in wide]), side)
+    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    for w in wide:
+        apart = apart + F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}")))
+    return pairs.where(apart <= bits_apart(similarity)).select("a", "b")
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, similarity: float = SIMILAR) -> DataFrame:
     """One row of each group of near-duplicates, with the columns of docs: the least id's.
 
     Rows of one id are one document. Rows without an id are named by their text's digest, and stand for
-    their group only where nobody in it has an id.
+    their group only where nobody in it has an id. Texts without words are alike.
     """
     ship(docs.sparkSession)
     name = F.coalesce(F.concat(F.lit("="), docs[id_col].cast("string")), F.concat(F.lit("-"), F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)))
     rows = docs.select(name.alias("__llm_name"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    rows = checkpoint(rows.mapInArrow(lambda it: _fingerprint(it, width), "__llm_name string, doc_id long, fp long"))
-    each = checkpoint(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "__llm_name")).alias("least")))
-    label = components(fingerprint_links(each.select("fp"), radius), "a", "b").withColumnRenamed("node", "fp")
+    wide = ["fp", *(f"wide{k}" for k in range(1, STREAMS))]
+    rows = checkpoint(rows.mapInArrow(lambda it: _profiles(it, width), "__llm_name string, doc_id long, " + ", ".join(f"{w} long" for w in wide) + ", unsure binary"))
+    each = checkpoint(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "__llm_name")).alias("least"), *[F.min(w).alias(w) for w in wide[1:]], F.min("unsure").alias("unsure")))
+    links = similar_links(each, each.count(), similarity)
+    label = components(links, "a", "b").withColumnRenamed("node", "fp")
     groups = each.join(label, "fp", "left").groupBy(F.coalesce("component", "fp").alias("group")).agg(F.min("least").alias("least"))
     kept = groups.select(F.col("least.__llm_name").alias("__llm_name"))
     found = docs.withColumn("__llm_name", name).join(kept, "__llm_name", "left_semi")

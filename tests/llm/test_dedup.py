@@ -73,15 +73,45 @@ def test_pivots_never_discard_a_link():
     assert np.abs(d(x) - d(y)).max() <= 2
 
 
-def test_representatives(docs, clashing, corpus, empty):
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return frozenset(b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+
+
+def test_representatives(spark, docs, clashing, corpus, empty):
     kept = simhash.keep_representatives(docs)
-    assert kept.columns == docs.columns
-    got = {r["doc_id"] for r in simhash.simhash_dedup(docs).where("kept").collect()}
-    assert {r["doc_id"] for r in kept.collect()} == got and kept.count() == len(got)
+    assert kept.columns == docs.columns and kept.count() == len({r["text"] for r in kept.collect()})
     assert simhash.keep_representatives(clashing).columns == clashing.columns
     assert simhash.keep_representatives(empty).count() == 0 and simhash.simhash_dedup(empty).count() == 0
 
 
+def test_similar_documents_leave_one(spark):
+    r = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(400)]
+    texts = []
+    for k in range(60):
+        words = [r.choice(vocabulary) for _ in range(r.randint(120, 400))]
+        texts.append(words)
+        for _ in range(k % 4):
+            copy = list(words)
+            for _ in range(r.randint(1, len(words) // 60)):
+                copy[r.randrange(len(copy))] = r.choice(vocabulary)
+            texts.append(copy)
+    r.shuffle(texts)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    kept = {x["doc_id"] for x in simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    s = [shingles(t) for _, t in rows]
+    j = {(a, b): len(s[a] & s[b]) / len(s[a] | s[b]) for a in range(len(s)) for b in range(a)}
+    near = [p for p, x in j.items() if x >= 0.8]
+    assert len(near) > 50 and sum(a in kept and b in kept for a, b in near) <= len(near) // 50
+    alone = [k for k in range(len(s)) if max(x for p, x in j.items() if k in p) < 0.5]
+    assert len(alone) > 10 and set(alone) <= kept
+    # one of every group stays, and of a group of clear copies only the least id
+    g = groups(len(s), near)
+    for k in set(g):
+        assert any(x == k and i in kept for i, x in enumerate(g))
+
+
 def test_components(spark):
     r = random.Random(4)
     links = [(k, k + 1) for k in range(100, 190)] + [(r.randrange(1000, 1400), r.randrange(1000, 1400)) for _ in range(150)] + [(5, 5)] + [(7, k) for k in range(2000, 2100)]
