@@ -33,7 +33,7 @@ KINDS = {
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 27),
     "bearer": (r"(?i:bearer)\x20+([A-Za-z0-9._~+/-]{16,}=*)", 1, 16),
     "url": (r"://[^\s:/@]{1,64}:([^\s:/@]{6,64})@", 1, 6),
-    "private_key": (r"-----BEGIN (?:[A-Z]{2,20} )?PRIVATE KEY-----[A-Za-z0-9+/=\s]{32,8000}", 0, 60),
+    "private_key": (r"-----BEGIN (?:[A-Z]{2,20} )?PRIVATE KEY-----[A-Za-z0-9+/=\s]{32,}", 0, 60),
 }
 BASE = 3
 _ANY = "|".join([rf"{_KEYWORD}[\"']?\x20*[:=]", "AKIA[A-Z0-9]{16}", "[0-9a-f]{24}", "gh[pousr]_[A-Za-z0-9]{36}", "xox[abprs]-", r"eyJ[A-Za-z0-9_-]{8}", r"(?i:bearer)\x20", r"://[^\s:/@]{1,64}:[^\s:/@]{6,64}@", "-----BEGIN"])
