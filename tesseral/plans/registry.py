@@ -390,11 +390,15 @@ def index_plan(spark, sf):
 
 
 def _demo_store(spark, sf):
+    import os
     import tempfile
+    import uuid
 
     from ..sources.catalog import open_store
 
-    s = open_store(spark, tempfile.mkdtemp() + "/store", "w")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    at = os.path.join(shared.removeprefix("file://"), f"store-{uuid.uuid4().hex}") if shared else tempfile.mkdtemp() + "/store"
+    s = open_store(spark, at, "w")
     s.create_group("/", "geo", "places")
     for n in ("nation", "region"):
         s.create_table("/geo", n, obj=table(spark, sf, n), title=n)
@@ -438,7 +442,7 @@ def filenode_roundtrip(spark, sf):
     from ..sources.filenode import new_node, open_node
 
     s = _demo_store(spark, sf)
-    text = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").select("text").first()[0].encode()
+    text = "\n".join(r["n_name"] for r in table(spark, sf, "nation").iterrows()).encode()
     with new_node(s, "/", "letter") as f:
         f.write(text)
     with open_node(s, "/letter") as f:
