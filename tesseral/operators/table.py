@@ -302,6 +302,10 @@ class Table:
         """Rows where an expression holds, as a mask would select them."""
         return self._flushed().where(test)
 
+    def to_numpy(self, start=None, stop=None, step=None) -> Any:
+        """The records of a slice as a NumPy record array."""
+        return self.read(start, stop, step).toPandas().to_records(index=False)
+
     def col(self, name: str) -> DataFrame:
         return self.read(field=name)
 

@@ -156,6 +156,8 @@ class Description:
     def __init__(self, spec: Any):
         if isinstance(spec, type) and issubclass(spec, Record):
             spec = {n: v for k in reversed(spec.__mro__) for n, v in vars(k).items() if not n.startswith("__") and (isinstance(v, Col) or isinstance(v, type) and issubclass(v, Record) or n == "_pos")}
+        if hasattr(spec, "fields") and hasattr(spec, "itemsize"):
+            spec = self._of_dtype(spec)
         if not isinstance(spec, Mapping):
             raise TypeError("a description is a mapping or a Record class")
         self.pos = spec.get("_pos")
@@ -163,6 +165,25 @@ class Description:
         placed = sorted((n for n in items if items[n].pos is not None), key=lambda n: (items[n].pos, n))
         self.columns: dict[str, Col | Description] = {n: items[n] for n in [*placed, *sorted(n for n in items if items[n].pos is None)]}
 
+    @classmethod
+    def _of_dtype(cls, dtype: Any) -> dict[str, Any]:
+        """Columns of a NumPy record type, in its order."""
+        if not dtype.names:
+            raise TypeError("a NumPy type needs named fields")
+        out: dict[str, Any] = {}
+        for k, name in enumerate(dtype.names):
+            t = dtype[name]
+            base, shape = t.subdtype if t.subdtype else (t, ())
+            if base.names:
+                out[name] = cls._of_dtype(base) | {"_pos": k}
+            elif base.kind == "S":
+                out[name] = Col("string", shape, pos=k, itemsize=base.itemsize)
+            elif base.kind == "U":
+                out[name] = Col("unicode", shape, pos=k)
+            else:
+                out[name] = Col({"bool_": "bool"}.get(base.name, base.name), shape, pos=k)
+        return out
+
     def schema(self) -> T.StructType:
         return T.StructType([T.StructField(n, c.schema() if isinstance(c, Description) else c.data_type, True, {} if isinstance(c, Description) else c.metadata()) for n, c in self.columns.items()])
 

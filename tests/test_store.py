@@ -194,3 +194,13 @@ def test_stream_tail(spark, tmp_path):
         q.awaitTermination(60)
         assert spark.read.parquet(dst).count() == want
         spark.range(5, 9).write.mode("append").parquet(src)
+
+
+def test_numpy_records(s):
+    kind = np.dtype([("name", "S3"), ("k", "i4"), ("v", "f8", (2,)), ("in", [("flag", "?")])])
+    leaf = s.create_table("/", "records", obj=np.array([(b"abc", 1, [1.0, 2.0], (True,)), (b"d", 2, [3.0, 4.0], (False,))], kind))
+    t = leaf.data()
+    assert t.colnames == ["name", "k", "v", "in"] and t[1]["v"] == [3.0, 4.0] and t[0]["in"]["flag"] is True
+    assert sum(c[2] for c in leaf.chunk_info()) == 2 and t.to_numpy(1)["k"].tolist() == [2]
+    r = t[0]
+    assert r["k"] == r[1] == 1 and tuple(r[1:2]) == (1,)
