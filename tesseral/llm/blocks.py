@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import partitions, ship
+from .runtime import partitions, ship, trim
 
 BLOCK_BYTES = 6 << 20
 ASKED = "block binary, bucket int, asked binary"
@@ -80,12 +80,14 @@ def blocks_of(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Ite
 def _dump(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in blocks_of(batches):
         yield pa.record_batch([pa.array([b.name], pa.binary()), pa.array([b.dump()], pa.binary())], ["block", "data"])
+    trim()
 
 
 def _ask(batches: Iterator[pa.RecordBatch], ask: Callable[[Block, int], dict[int, bytes]], buckets: int) -> Iterator[pa.RecordBatch]:
     for b in blocks_of(batches):
         sent = ask(b, buckets)
         yield pa.record_batch([pa.array([b.name] * len(sent), pa.binary()), pa.array(list(sent), pa.int32()), pa.array(list(sent.values()), pa.binary())], ["block", "bucket", "asked"])
+    trim()
 
 
 def _answer(t: pa.Table, answer: Callable[[list[bytes]], list[bytes]]) -> pa.Table:
@@ -127,6 +129,8 @@ def _meet(left: pa.Table, right: pa.Table, finish: Callable) -> pa.Table:
     for k, b, a in zip(right.column("kind").to_pylist(), right.column("bucket").to_pylist(), right.column("answer")):
         got[k, b] = a.as_py()
     out = finish(Block.load(left.column("data")[0].as_py()), got)
+    del got
+    trim()
     return pa.concat_tables([out] * n)
 
 

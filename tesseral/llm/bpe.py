@@ -17,8 +17,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
+from .runtime import FORGET
+
 GPT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO_WORDS = 400_000
+MEMO_WORDS = 120_000
 MEMO_CHARS = 64
 SEGMENT = 1 << 20
 PLAIN_END = "\u0250"  # letters below are letters in every version of Unicode
@@ -207,3 +209,6 @@ def packed_encoder(path: str, kind: str = "<u4") -> PackedEncoder:
 @functools.lru_cache(2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
+
+
+FORGET += [packed_encoder.cache_clear, vocabulary.cache_clear]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .runtime import checkpoint, ship
+from .runtime import checkpoint, enter, ship, trim
 
 PER_BUCKET = 50_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -31,6 +31,7 @@ PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end: int, capacity: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
+    enter("tokens")
     enc = bpe.packed_encoder(path)
     mark = np.array([end], "<u4").tobytes()
     for b in batches:
@@ -51,6 +52,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end: int, capacity: in
         cols = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc))]
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         yield pa.record_batch([*cols, pa.array(ids, pa.binary())] if keep_ids else cols, [*names, "ids"] if keep_ids else names)
+    trim()
 
 
 def pieces(docs: DataFrame, path: str | None = None, end: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:

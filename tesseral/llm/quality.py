@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import checkpoint, ship
+from .runtime import checkpoint, enter, ship
 
 SYMBOLS = "#*$%&|<>"
 RULES = ("symbols", "repeats", "lines", "word_length", "shouting", "exclamations", "vocabulary", "sentences")
@@ -158,6 +158,7 @@ def fit(counts: np.ndarray, rounds: int = 500, weight: float = 10.0, wrong: floa
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    enter("quality")
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "pattern"]
     for b in batches:
         rows = []
@@ -197,6 +198,7 @@ def quality_filter(docs: DataFrame, text_col: str = "text", threshold: float = 0
 
     @F.arrow_udf("int")
     def pattern(texts: pa.Array) -> pa.Array:
+        enter("quality")
         out = []
         for x in texts:
             m = measures(x.as_py() or "")
@@ -205,6 +207,7 @@ def quality_filter(docs: DataFrame, text_col: str = "text", threshold: float = 0
 
     @F.arrow_udf("int")
     def any_pattern(texts: pa.Array) -> pa.Array:
+        enter("quality")
         return pa.array([_pattern(votes(measures(x.as_py() or ""))) for x in texts], pa.int32())
 
     values = posterior(docs.select(any_pattern(docs[text_col].cast("string")).alias("pattern")))

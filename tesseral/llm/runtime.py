@@ -15,6 +15,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+#: In a Python worker: what to call to forget remembered words and tables, and whose they are.
+FORGET: list = []
+_OWNER = [""]
+
+
+def enter(owner: str) -> None:
+    """At the start of a task: a worker that turns to another operator forgets what the last one remembered."""
+    if _OWNER[0] != owner:
+        _OWNER[0] = owner
+        for forget in FORGET:
+            forget()
+        gc.collect()
+        trim()
+
+
+def trim() -> None:
+    """Gives memory that is free in this process back to the machine."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: it keeps its own counsel
 
 
 def ship(spark: SparkSession) -> None:
@@ -32,6 +58,9 @@ def ship(spark: SparkSession) -> None:
                     p = os.path.join(at, n)
                     z.write(p, os.path.relpath(p, base))
     sc.addPyFile(to)
+    if "spark.sql.execution.arrow.maxRecordsPerBatch" not in dict(sc.getConf().getAll()):
+        # whole texts cross to Python: batches of some MB rather than ten thousand rows
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     _SHIPPED.add(sc.applicationId)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import checkpoint, partitions, ship
+from .runtime import checkpoint, enter, partitions, ship, trim
 
 RADIUS, WIDTH, SEED = 2, 3, 42
 N_PIVOTS = 24
@@ -226,6 +226,7 @@ def profile(text: bytes, width: int = WORDS) -> tuple[list[int], bytes]:
 
 
 def _profiles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    enter("simhash")
     for b in batches:
         prints, orders = [], []
         for x in b.column(2):
@@ -235,6 +236,7 @@ def _profiles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
             orders.append(o)
         f = np.array(prints, np.uint64).reshape(-1, STREAMS).view(np.int64)
         yield pa.record_batch([*b.columns[:2], *(pa.array(f[:, k]) for k in range(STREAMS)), pa.array(orders, pa.binary())], [*b.schema.names[:2], "fp", *(f"wide{k}" for k in range(1, STREAMS)), "unsure"])
+    trim()
 
 
 def probe_keys(fp: np.ndarray, unsure: np.ndarray, width: int) -> np.ndarray:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .runtime import checkpoint, release
+from .runtime import checkpoint, enter, release
 
 LENGTH, GRAM = 50, 24
 WIDE = LENGTH - GRAM + 1
@@ -102,6 +102,7 @@ class Sampled:
     """The sample of a whole block: document index, position in it, hash, strings."""
 
     def __init__(self, block: blocks.Block):
+        enter("suffix")
         self.block = block
         doc, pos, hashes, bits, k = [], [], [], [], 0
         texts = block.texts
