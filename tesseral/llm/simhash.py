@@ -15,6 +15,8 @@ is null where nobody in it has an id. Repeated rows come back once each. Empty t
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import math
 from collections.abc import Iterator
 from itertools import combinations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import checkpoint, enter, partitions, ship, trim
+from .runtime import checkpoint, enter, partitions, release, ship, trim
 
 RADIUS, WIDTH, SEED = 2, 3, 42
 N_PIVOTS = 24
@@ -193,8 +195,11 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 # Groups of similar documents, for filtering: wider shingles, and pairs much farther apart than RADIUS
 
 WORDS, SIMILAR = 5, 0.8
-STREAMS, TABLES, FLIPS, NARROW = 4, 12, 3, 16
+STREAMS = 4
 _STREAM = [np.uint64(x) for x in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+#: One document in SAMPLE is counted to find common shingles; those seen COMMON times there come last, MOST of them at most.
+SAMPLE, COMMON, MOST = 16, 4, 200_000
+ROWS = 200_000
 
 
 def bits_apart(similarity: float, slack: float = 0.02) -> int:
@@ -203,130 +208,156 @@ def bits_apart(similarity: float, slack: float = 0.02) -> int:
     return int((angle + slack) * 64 * STREAMS)
 
 
-def profile(text: bytes, width: int = WORDS) -> tuple[list[int], bytes]:
-    """STREAMS fingerprints, and the first one's bit positions from the least to the most certain."""
-    hs = shingle_hashes(text, width)
-    if not hs:
-        return [0] * STREAMS, bytes(range(64))
-    h = np.array(hs, np.uint64)
-    out, order = [], b""
+def profile(hashes: np.ndarray) -> list[int]:
+    """STREAMS fingerprints of a set of shingle hashes."""
+    if not len(hashes):
+        return [0] * STREAMS
+    out = []
     for k, salt in enumerate(_STREAM):
-        x = h
+        x = hashes
         if k:
-            x = (h ^ (h >> np.uint64(31))) * salt
+            x = (x ^ (x >> np.uint64(31))) * salt
             x ^= x >> np.uint64(29)
         sums = np.zeros(64, np.int64)
         for at in range(0, len(x), CHUNK):
             sums += _bits(x[at : at + CHUNK]).sum(0, dtype=np.int64)
-        margin = 2 * sums - len(x)
-        out.append(int(np.packbits(margin > 0, bitorder="little").view("<u8")[0]))
-        if not k:
-            order = np.argsort(np.abs(margin), kind="stable").astype(np.uint8).tobytes()
-    return out, order
+        out.append(int(np.packbits(2 * sums > len(x), bitorder="little").view("<u8")[0]))
+    return out
 
 
-def _profiles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The set of each text's shingle hashes, sorted, its name (a digest) and its fingerprints."""
     enter("simhash")
     for b in batches:
-        prints, orders = [], []
+        names, sets, prints = [], [], []
         for x in b.column(2):
             t = x.as_buffer()
-            f, o = profile(t.to_pybytes() if t is not None else b"", width)
-            prints.append(f)
-            orders.append(o)
+            h = np.unique(np.array(shingle_hashes(t.to_pybytes() if t is not None else b"", width), np.uint64))
+            prints.append(profile(h))
+            sets.append(h.tobytes())
+            names.append(int.from_bytes(hashlib.blake2b(sets[-1], digest_size=8).digest(), "little", signed=True))
         f = np.array(prints, np.uint64).reshape(-1, STREAMS).view(np.int64)
-        yield pa.record_batch([*b.columns[:2], *(pa.array(f[:, k]) for k in range(STREAMS)), pa.array(orders, pa.binary())], [*b.schema.names[:2], "fp", *(f"wide{k}" for k in range(1, STREAMS)), "unsure"])
+        yield pa.record_batch([*b.columns[:2], pa.array(names, pa.int64()), pa.array(sets, pa.binary()), *(pa.array(f[:, k]) for k in range(STREAMS))], [*b.schema.names[:2], "key", "hashes", *WIDE])
     trim()
 
 
-def probe_keys(fp: np.ndarray, unsure: np.ndarray, width: int) -> np.ndarray:
-    """(rows, TABLES, 2**FLIPS) keys: in each table ``width`` bits, with every subset of the least certain FLIPS of them flipped."""
-    n = len(fp)
-    bits = _bits(fp).astype(np.int64)
-    rank = np.empty((n, 64), np.int64)
-    np.put_along_axis(rank, unsure.astype(np.int64), np.arange(64)[None, :].repeat(n, 0), 1)
-    out = np.zeros((n, TABLES, 1 << FLIPS), np.int64)
-    for t in range(TABLES):
-        chosen = np.random.default_rng([41, t]).permutation(64)[:width]
-        weight = np.int64(1) << np.arange(width, dtype=np.int64)
-        base = bits[:, chosen] @ weight
-        weak = weight[np.argpartition(rank[:, chosen], FLIPS, axis=1)[:, :FLIPS]]
-        for m in range(1 << FLIPS):
-            flip = sum((weak[:, j] for j in range(FLIPS) if m >> j & 1), np.zeros(n, np.int64))
-            out[:, t, m] = np.int64(t) << np.int64(48) | (base ^ flip)
-    return out
+WIDE = [f"wide{k}" for k in range(STREAMS)]
 
 
-def _probes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    first = pivots()[0]
+def _each_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.record_batch([pa.array(np.frombuffer(b"".join(x.as_py() for x in b.column(0)), np.int64))], ["token"])
+
+
+def common_shingles(each: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the shingles that most sets hold, by a sample. They only decide an order: what they miss costs time, not pairs."""
+    rows = each.where(F.pmod("key", F.lit(SAMPLE)) == 0).select("hashes").mapInArrow(_each_hash, "token long")
+    counts = checkpoint(rows.groupBy("token").count().where(F.col("count") >= COMMON))
+    least, held = COMMON, 0
+    for c, n in counts.groupBy("count").agg(F.count("*")).orderBy(F.desc("count")).toLocalIterator():
+        held += n
+        if held > MOST:
+            least = c + 1
+            break
+    got = counts.where(F.col("count") >= least).collect()  # at most MOST
+    tokens, times = np.array([r[0] for r in got], np.int64).view(np.uint64), np.array([r[1] for r in got], np.int64)
+    order = np.argsort(tokens)
+    return tokens[order], times[order]
+
+
+def prefix(h: np.ndarray, common: np.ndarray, times: np.ndarray, similarity: float) -> np.ndarray:
+    """The first hashes of a set in the order of all sets (rare ones first), as many as any set this similar must share one of."""
+    n = len(h)
+    size = n - math.ceil(similarity * n - 1e-9) + 1
+    if len(common) and n:
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        weight = np.where(common[at] == h, times[at], 0)
+        if weight.any():
+            h = h[np.argsort(weight, kind="stable")]
+    return h[:size]
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], common: np.ndarray, times: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
+    """(token, place, key): place is the set's size and, in the low half, where in its order the token stands."""
     for b in batches:
         if not b.num_rows:
             continue
-        fp = b.column(0).to_numpy().view(np.uint64)
-        unsure = np.frombuffer(b"".join(x.as_py() for x in b.column(1)), np.uint8).reshape(-1, 64)
-        for at in range(0, len(fp), 2000):
-            part = fp[at : at + 2000]
-            keys = probe_keys(part, unsure[at : at + 2000], width)
-            per = keys.shape[1] * keys.shape[2]
-            near = np.bitwise_count(part ^ first).astype(np.int16)
-            yield pa.record_batch([pa.array(keys.reshape(-1)), pa.array(np.repeat(near, per)), pa.array(np.repeat(part.view(np.int64), per))], ["key", "near", "fp"])
-
-
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that share a key and that neither the pivots nor the narrow fingerprint tell apart."""
-    held = None
+        tokens, places, counts = [], [], []
+        for x in b.column(1):
+            h = np.frombuffer(x.as_py(), np.uint64)
+            p = prefix(h, common, times, similarity)
+            tokens.append(p)
+            places.append(np.int64(len(h)) << np.int64(32) | np.arange(len(p), dtype=np.int64))
+            counts.append(len(p))
+        yield pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(places)), pa.array(np.repeat(b.column(0).to_numpy(), counts))], ["token", "place", "key"])
+
+
+def sharing(token: np.ndarray, place: np.ndarray, key: np.ndarray, similarity: float) -> np.ndarray:
+    """Pairs of keys (2, n) that share a token and whose sizes and places leave room for the similarity; rows sorted by token and place."""
+    size, rest = place >> 32, (place >> 32) - (place & 0xFFFFFFFF)
+    out, held, active, step = [np.zeros((2, 0), np.int64)], 0, np.arange(len(token)), 1
+    while True:
+        active = active[active + step < len(token)]
+        other = active + step
+        go_on = (token[active] == token[other]) & (size[active] >= similarity * size[other] - 1e-9)
+        active, other = active[go_on], other[go_on]
+        if not len(active):
+            break
+        room = np.minimum(rest[active], rest[other]) >= similarity / (1 + similarity) * (size[active] + size[other]) - 1e-9
+        a, b = key[active[room]], key[other[room]]
+        out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+        held += len(a)
+        if held > 1 << 20:
+            out = [np.unique(np.concatenate(out, axis=1), axis=1)]
+            held = 0
+        step += 1
+    return np.unique(np.concatenate(out, axis=1), axis=1)
 
-    def found(key, near, fp):
-        table = np.bitwise_count(fp[:, None] ^ pivots()[None, :]).astype(np.int8)
-        left, right, active, step = [], [], np.arange(len(fp)), 1
-        while True:
-            active = active[active + step < len(fp)]
-            active = active[(key[active] == key[active + step]) & (near[active + step] - near[active] <= NARROW)]
-            if not len(active):
-                break
-            other = active + step
-            i = active[np.abs(table[active] - table[other]).max(1) <= NARROW]
-            i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= NARROW]
-            left.append(fp[i])
-            right.append(fp[i + step])
-            step += 1
-        none = np.zeros(0, np.uint64)
-        a, b = np.concatenate([none, *left]).view(np.int64), np.concatenate([none, *right]).view(np.int64)
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        both = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-        return pa.record_batch([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+
+    def joined():
+        return [np.concatenate(x) for x in zip(*held)]
+
+    def found(rows):
+        a, b = sharing(*rows, similarity)
+        return pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)]
-        rows = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-        cut = int(np.searchsorted(rows[0], rows[0][-1]))
-        if cut:
-            yield found(*(r[:cut] for r in rows))
-        held = [r[cut:] for r in rows]
-    if held is not None:
-        yield found(*held)
+        held.append([batch.column(k).to_numpy() for k in range(3)])
+        size += batch.num_rows
+        if size < ROWS or held[0][0][0] == held[-1][0][-1]:
+            continue
+        rows = joined()
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last token may go on in the next batch
+        yield found([r[:cut] for r in rows])
+        held, size = [[r[cut:] for r in rows]], len(rows[0]) - cut
+    if held:
+        yield found(joined())
+    trim()
 
 
-def similar_links(each: DataFrame, n: int, similarity: float = SIMILAR) -> DataFrame:
-    """(a, b): links of the distinct fingerprints ``fp`` whose wide fingerprints are as near as the similarity asks.
+def candidates(each: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+    """(a, b): pairs of the distinct ``key`` among which is every pair of sets ``hashes`` that is this similar, whatever their number.
 
-    A pair at 0.8 differs in about 10 of 64 bits, beyond what groups of equal bits find; but the bits that
-    differ are those of small majorities. So each fingerprint also stands under the keys in which its least
-    certain bits are flipped (measured recall above 0.99 at 0.8). Key width grows with the number of rows.
+    Two sets of Jaccard similarity s share one of the first n - ceil(s n) + 1 members of either, in any
+    order that is the same for all (prefix filtering). The order takes common shingles last, so that groups stay small.
     """
-    spark = each.sparkSession
-    width = min(40, max(12, (max(n, 2) - 1).bit_length() + 1))
-    rows = each.select("fp", "unsure").mapInArrow(lambda it: _probes(it, width), "key long, near short, fp long")
-    rows = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "near")
-    pairs = rows.mapInArrow(_similar, "a long, b long").distinct()
-    wide = [f"wide{k}" for k in range(1, STREAMS)]
+    common, times = common_shingles(each)
+    rows = each.select("key", "hashes").mapInArrow(functools.partial(_prefixes, common=common, times=times, similarity=similarity), "token long, place long, key long")
+    rows = rows.repartition(partitions(each.sparkSession), "token").sortWithinPartitions("token", "place")
+    return rows.mapInArrow(functools.partial(_similar, similarity=similarity), "a long, b long").distinct()
+
+
+def similar_links(each: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+    """(a, b): links of the distinct sets ``key`` whose fingerprints are as near as the similarity asks."""
+    pairs = candidates(each, similarity)
     for side in ("a", "b"):
-        pairs = pairs.join(each.select(F.col("fp").alias(side), *[F.col(w).alias(f"{side}_{w}") for w in wide]), side)
-    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    for w in wide:
-        apart = apart + F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}")))
+        pairs = pairs.join(each.select(F.col("key").alias(side), *[F.col(w).alias(f"{side}_{w}") for w in WIDE]), side)
+    apart = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in WIDE), F.lit(0))
     return pairs.where(apart <= bits_apart(similarity)).select("a", "b")
 
 
@@ -339,12 +370,12 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ship(docs.sparkSession)
     name = F.coalesce(F.concat(F.lit("="), docs[id_col].cast("string")), F.concat(F.lit("-"), F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)))
     rows = docs.select(name.alias("__llm_name"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    wide = ["fp", *(f"wide{k}" for k in range(1, STREAMS))]
-    rows = checkpoint(rows.mapInArrow(lambda it: _profiles(it, width), "__llm_name string, doc_id long, " + ", ".join(f"{w} long" for w in wide) + ", unsure binary"))
-    each = checkpoint(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "__llm_name")).alias("least"), *[F.min(w).alias(w) for w in wide[1:]], F.min("unsure").alias("unsure")))
-    links = similar_links(each, each.count(), similarity)
-    label = components(links, "a", "b").withColumnRenamed("node", "fp")
-    groups = each.join(label, "fp", "left").groupBy(F.coalesce("component", "fp").alias("group")).agg(F.min("least").alias("least"))
+    rows = rows.mapInArrow(functools.partial(_sets, width=width), "__llm_name string, doc_id long, key long, hashes binary, " + ", ".join(f"{w} long" for w in WIDE))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "__llm_name")).alias("least")
+    each = checkpoint(rows.groupBy("key").agg(least, *[F.first(c).alias(c) for c in ("hashes", *WIDE)]))
+    release(docs.sparkSession)
+    label = components(similar_links(each, similarity), "a", "b").withColumnRenamed("node", "key")
+    groups = each.select("key", "least").join(label, "key", "left").groupBy(F.coalesce("component", "key").alias("group")).agg(F.min("least").alias("least"))
     kept = groups.select(F.col("least.__llm_name").alias("__llm_name"))
     found = docs.withColumn("__llm_name", name).join(kept, "__llm_name", "left_semi")
     return found.dropDuplicates(["__llm_name"]).drop("__llm_name")

@@ -112,6 +112,28 @@ def test_similar_documents_leave_one(spark):
         assert any(x == k and i in kept for i, x in enumerate(g))
 
 
+def test_every_similar_pair_is_a_candidate_whatever_the_number(spark, monkeypatch):
+    """No key width that grows with the rows: pairs at the threshold itself meet, also where common shingles come last."""
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    r = np.random.default_rng(5)
+    common = r.integers(0, 1 << 64, 60, np.uint64)
+    sets = []
+    for k in range(150):
+        n = int(r.integers(1, 90))
+        x = np.r_[r.integers(0, 1 << 64, n, np.uint64), common[: int(r.integers(0, 60))]]
+        sets.append(np.unique(x))
+        for _ in range(3):
+            out = int(r.integers(0, len(x) // 5 + 1))
+            sets.append(np.unique(np.r_[r.permutation(x)[out:], r.integers(0, 1 << 64, int(r.integers(0, max(1, len(x) // 5 - out + 1))), np.uint64)]))
+    sets = list({x.tobytes(): x for x in sets if len(x)}.values())
+    rows = [(k, x.tobytes()) for k, x in enumerate(sets)]
+    each = spark.createDataFrame(rows, "key long, hashes binary")
+    got = {(a, b) for a, b in simhash.candidates(each).collect()}
+    held = [set(x.tolist()) for x in sets]
+    want = {(a, b) for b in range(len(held)) for a in range(b) if len(held[a] & held[b]) / len(held[a] | held[b]) >= 0.8}
+    assert len(simhash.common_shingles(each)[0]) > 20 and len(want) > 200 and want <= got
+
+
 def test_components(spark):
     r = random.Random(4)
     links = [(k, k + 1) for k in range(100, 190)] + [(r.randrange(1000, 1400), r.randrange(1000, 1400)) for _ in range(150)] + [(5, 5)] + [(7, k) for k in range(2000, 2100)]
