@@ -202,10 +202,11 @@ SAMPLE, COMMON, MOST = 16, 4, 200_000
 ROWS = 200_000
 
 
-def bits_apart(similarity: float, slack: float = 0.02) -> int:
-    """Differing bits of STREAMS fingerprints that two sets of this Jaccard similarity stay below, nearly always."""
+def bits_apart(similarity: float, deviations: float = 8) -> int:
+    """Differing bits of STREAMS fingerprints that two sets of this Jaccard similarity stay below: the mean and several standard deviations."""
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int((angle + slack) * 64 * STREAMS)
+    n = 64 * STREAMS
+    return int(angle * n + deviations * math.sqrt(n * angle * (1 - angle)))
 
 
 def profile(hashes: np.ndarray) -> list[int]:
@@ -352,19 +353,38 @@ def candidates(each: DataFrame, similarity: float = SIMILAR) -> DataFrame:
     return rows.mapInArrow(functools.partial(_similar, similarity=similarity), "a long, b long").distinct()
 
 
+def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ok = []
+        for x, y in zip(b.column(2), b.column(3)):
+            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            ok.append(both / (len(x) + len(y) - both) >= similarity)
+        ok = pa.array(ok, pa.bool_())
+        yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
+    trim()
+
+
 def similar_links(each: DataFrame, similarity: float = SIMILAR) -> DataFrame:
-    """(a, b): links of the distinct sets ``key`` whose fingerprints are as near as the similarity asks."""
+    """(a, b): links of the distinct sets ``key`` whose Jaccard similarity is at least this, and no others.
+
+    Fingerprints only discard candidates that are far below; the sets themselves decide.
+    """
     pairs = candidates(each, similarity)
     for side in ("a", "b"):
         pairs = pairs.join(each.select(F.col("key").alias(side), *[F.col(w).alias(f"{side}_{w}") for w in WIDE]), side)
     apart = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in WIDE), F.lit(0))
-    return pairs.where(apart <= bits_apart(similarity)).select("a", "b")
+    pairs = checkpoint(pairs.where(apart <= bits_apart(similarity)).select("a", "b"))
+    release(each.sparkSession)
+    for side in ("a", "b"):
+        pairs = pairs.join(each.select(F.col("key").alias(side), F.col("hashes").alias(f"{side}_hashes")), side)
+    return pairs.select("a", "b", "a_hashes", "b_hashes").mapInArrow(functools.partial(_verify, similarity=similarity), "a long, b long")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, similarity: float = SIMILAR) -> DataFrame:
     """One row of each group of near-duplicates, with the columns of docs: the least id's.
 
-    Rows of one id are one document. Rows without an id are named by their text's digest, and stand for
+    Documents are linked whose sets of shingles have at least this Jaccard similarity; links make groups. Rows of one id are one document. Rows without an id are named by their text's digest, and stand for
     their group only where nobody in it has an id. Texts without words are alike.
     """
     ship(docs.sparkSession)

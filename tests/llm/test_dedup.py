@@ -134,6 +134,25 @@ def test_every_similar_pair_is_a_candidate_whatever_the_number(spark, monkeypatc
     assert len(simhash.common_shingles(each)[0]) > 20 and len(want) > 200 and want <= got
 
 
+def test_only_pairs_at_the_threshold_are_linked(spark):
+    """Pairs planted at 0.80 to 0.82 all go, pairs planted at 0.70 to 0.79 all stay."""
+    r = random.Random(17)
+    texts, wanted = [], []
+    for k in range(160):
+        n, low, high = r.randint(80, 400), *((0.8, 0.82) if k % 2 else (0.7, 0.7999))
+        word = lambda k=k: f"w{k}x{r.getrandbits(40)}"
+        one = [word() for _ in range(n)]
+        both = [c for c in range(5, n) if low <= (c - 4) / (2 * (n - 4) - (c - 4)) < high]
+        keep = r.choice(both)
+        texts += [one, one[:keep] + [word() for _ in range(n - keep)]]
+        wanted += [2 * k] if k % 2 else [2 * k, 2 * k + 1]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    s = [shingles(t) for _, t in rows]
+    assert all((len(s[k] & s[k + 1]) / len(s[k] | s[k + 1]) >= 0.8) == (k // 2 % 2 == 1) for k in range(0, len(s), 2))
+    kept = [x["doc_id"] for x in simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept) == wanted
+
+
 def test_components(spark):
     r = random.Random(4)
     links = [(k, k + 1) for k in range(100, 190)] + [(r.randrange(1000, 1400), r.randrange(1000, 1400)) for _ in range(150)] + [(5, 5)] + [(7, k) for k in range(2000, 2100)]
