@@ -384,11 +384,14 @@ def similar_links(each: DataFrame, similarity: float = SIMILAR) -> DataFrame:
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, similarity: float = SIMILAR) -> DataFrame:
     """One row of each group of near-duplicates, with the columns of docs: the least id's.
 
-    Documents are linked whose sets of shingles have at least this Jaccard similarity; links make groups. Rows of one id are one document. Rows without an id are named by their text's digest, and stand for
-    their group only where nobody in it has an id. Texts without words are alike.
+    Documents are linked whose sets of shingles have at least this Jaccard similarity; links make groups.
+    A document is an id and a text: rows that share both are one, different texts under one id are judged
+    apart, and among those of a group's least id the least digest stays. Rows without an id stand for their
+    group only where nobody in it has an id. Texts without words are alike.
     """
     ship(docs.sparkSession)
-    name = F.coalesce(F.concat(F.lit("="), docs[id_col].cast("string")), F.concat(F.lit("-"), F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)))
+    digest = F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)
+    name = F.concat(F.coalesce(F.concat(F.lit("="), docs[id_col].cast("string")), F.lit("")), F.lit("-"), digest)
     rows = docs.select(name.alias("__llm_name"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     rows = rows.mapInArrow(functools.partial(_sets, width=width), "__llm_name string, doc_id long, key long, hashes binary, " + ", ".join(f"{w} long" for w in WIDE))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "__llm_name")).alias("least")

@@ -153,6 +153,15 @@ def test_only_pairs_at_the_threshold_are_linked(spark):
     assert sorted(kept) == wanted
 
 
+def test_texts_under_one_id_are_judged_apart(spark):
+    r = random.Random(23)
+    a, b, c, d = (" ".join(f"w{r.getrandbits(40)}" for _ in range(100)) for _ in range(4))
+    rows = [(1, a), (7, a + " more"), (7, b), (7, c), (7, c), (9, d), (9, d + " more")]
+    kept = simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    least = min(d, d + " more", key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert sorted(map(tuple, kept)) == sorted([(1, a), (7, b), (7, c), (9, least)])
+
+
 def test_components(spark):
     r = random.Random(4)
     links = [(k, k + 1) for k in range(100, 190)] + [(r.randrange(1000, 1400), r.randrange(1000, 1400)) for _ in range(150)] + [(5, 5)] + [(7, k) for k in range(2000, 2100)]
