@@ -28,6 +28,7 @@ from .runtime import checkpoint, enter, ship
 SYMBOLS = "#*$%&|<>"
 RULES = ("symbols", "repeats", "lines", "word_length", "shouting", "exclamations", "vocabulary", "sentences")
 LONG = 50_000
+WINDOW = 2000
 FEATURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, pattern int"
 
 
@@ -41,7 +42,7 @@ class Measures(NamedTuple):
     n_ended: int
     n_shouted: int
     n_exclaimed: int
-    n_distinct: int
+    distinct: float
 
 
 def repeated(words: list[bytes]) -> int:
@@ -68,6 +69,15 @@ def repeated(words: list[bytes]) -> int:
     return int(cover.sum())
 
 
+def distinct_share(words: list[bytes]) -> float:
+    """Share of distinct words, the mean over windows of WINDOW words that follow each other (the last one ends with the text)."""
+    n = len(words)
+    if n <= WINDOW:
+        return len(set(words)) / n if n else 0.0
+    starts = [*range(0, n - WINDOW, WINDOW), n - WINDOW]
+    return sum(len(set(words[k : k + WINDOW])) for k in starts) / (WINDOW * len(starts))
+
+
 def measures(text: str) -> Measures:
     words = text.encode().split()
     n = len(words)
@@ -75,7 +85,7 @@ def measures(text: str) -> Measures:
     spaces = sum(map(text.count, " \t\n\x0b\x0c\r"))
     return Measures(
         n, len(text) - spaces, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated(words), len(lines),
-        sum(x.rstrip()[-1:] in _ENDS for x in lines), sum(len(w) > 1 and w.isupper() for w in words), text.count("!"), len(set(words)),
+        sum(x.rstrip()[-1:] in _ENDS for x in lines), sum(len(w) > 1 and w.isupper() for w in words), text.count("!"), distinct_share(words),
     )
 
 
@@ -91,7 +101,7 @@ def votes(m: Measures) -> tuple[int, ...]:
 
     if not n:
         return (0,) * len(RULES)
-    mean, distinct = m.word_chars / n, m.n_distinct / n
+    mean = m.word_chars / n
     return (
         against(m.n_symbols / n, 0.1),
         against(m.n_repeat_words / n, 0.3),
@@ -99,7 +109,7 @@ def votes(m: Measures) -> tuple[int, ...]:
         1 if 3.5 <= mean <= 6.5 else -1 if mean < 2.5 or mean > 12 else 0,
         against(m.n_shouted / n, 0.3),
         against(m.n_exclaimed / n, 0.2),
-        (1 if distinct >= 0.4 else -1 if distinct < 0.1 and n < 2000 else 0) if n >= 20 else 0,
+        (1 if m.distinct >= 0.4 else -1 if m.distinct < 0.1 else 0) if n >= 20 else 0,
         1 if m.n_ended / m.n_lines >= 0.8 else 0,
     )
 

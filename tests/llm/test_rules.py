@@ -49,6 +49,20 @@ def test_repeats_of_long_texts():
         quality.LONG = old
 
 
+@pytest.mark.parametrize("n", [1999, 2000, 2001, 3999, 4000, 30_001])
+def test_few_words_are_seen_at_any_length(n):
+    import random
+
+    r, at = random.Random(n), quality.RULES.index("vocabulary")
+    few, many = [f"w{k}" for k in range(50)], [f"v{k}" for k in range(3000)]
+    junk = quality.measures(" ".join(r.choice(few) for _ in range(n)))
+    assert not quality.base_failed(junk.n_words, junk.n_repeat_words) or n > 4000
+    assert quality.votes(junk)[at] == -1
+    assert quality.votes(quality.measures(" ".join(r.choice(many) for _ in range(n))))[at] == 1
+    half = [r.choice(few) for _ in range(n // 2)] + [r.choice(many) for _ in range(n - n // 2)]
+    assert quality.votes(quality.measures(" ".join(half)))[at] >= 0
+
+
 def brute_posterior(votes, rounds=500, weight=10.0, wrong=0.005):
     """The same model, document by document."""
     n = len(quality.RULES)
