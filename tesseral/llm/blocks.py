@@ -20,6 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .runtime import partitions, ship, trim
 
@@ -59,10 +60,22 @@ class Block:
         return cls([None if x else int(d) for d, x in zip(ids, none)], parts[:n], parts[n:])
 
 
+def packed(rows: pa.StructArray) -> list[bytes]:
+    """Each row as an Arrow message, without its schema."""
+    batch = pa.RecordBatch.from_struct_array(rows)
+    return [batch.slice(k, 1).serialize().to_pybytes() for k in range(len(rows))]
+
+
+def unpacked(rows: list[bytes], kind: pa.StructType) -> pa.StructArray:
+    schema = pa.schema(list(kind))
+    batches = [pa.ipc.read_record_batch(pa.py_buffer(x), schema) for x in rows]
+    return pa.Table.from_batches(batches, schema).combine_chunks().to_struct_array().combine_chunks().cast(kind)
+
+
 def blocks_of(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[Block]:
     docs, texts, extra, size = [], [], [], 0
     for b in batches:
-        more = b.column(2) if b.num_columns > 2 else [None] * b.num_rows
+        more = packed(b.column(2)) if b.num_columns > 2 else [None] * b.num_rows
         for d, x, y in zip(b.column(0).to_pylist(), b.column(1), more):
             t = x.as_buffer()
             t = t.to_pybytes() if t is not None else b""
@@ -71,7 +84,7 @@ def blocks_of(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Ite
                 docs, texts, extra, size = [], [], [], 0
             docs.append(d)
             texts.append(t)
-            extra.append(y.as_py().encode() if y is not None and y.is_valid else b"")
+            extra.append(y or b"")
             size += len(t)
     if docs:
         yield Block(docs, texts, extra)
@@ -96,12 +109,17 @@ def _answer(t: pa.Table, answer: Callable[[list[bytes]], list[bytes]]) -> pa.Tab
 
 
 def source(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
-    """Rows for blocks; carry keeps all columns but the text, as JSON."""
+    """Rows for blocks; carry keeps all columns but the text, as Arrow messages of carried()."""
     ship(docs.sparkSession)
-    rest = [F.to_json(F.struct(*(docs[c] for c in docs.columns if c != text_col))).alias("extra")] if carry else []
+    rest = [F.struct(*(docs[c] for c in docs.columns if c != text_col)).alias("extra")] if carry else []
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *rest)
 
 
+def carried(docs: DataFrame, text_col: str) -> StructType:
+    """The type of what source() carries."""
+    return StructType([f for f in docs.schema.fields if f.name != text_col])
+
+
 def dumped(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(_dump, "block binary, data binary")
 

@@ -31,6 +31,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import blocks
 from .runtime import checkpoint, enter, release
@@ -323,13 +325,13 @@ def _report(block: blocks.Block, got: dict, buckets: int) -> pa.Table:
     })
 
 
-def _clean(block: blocks.Block, got: dict, buckets: int) -> pa.Table:
+def _clean(block: blocks.Block, got: dict, buckets: int, kind: StructType) -> pa.Table:
     runs = removed_runs(block, got, buckets)
     kept = [kept_bytes(t, whole_characters(t, r)).decode() for t, r in zip(block.texts, runs)]
-    return pa.table({"extra": pa.array([e.decode() for e in block.extra], pa.string()), "text": pa.array(kept, pa.string())})
+    return pa.table({"extra": blocks.unpacked(block.extra, to_arrow_type(kind)), "text": pa.array(kept, pa.string())})
 
 
-def _run(rows: DataFrame, finish, schema: str) -> DataFrame:
+def _run(rows: DataFrame, finish, schema: str | StructType) -> DataFrame:
     buckets = blocks.partitions(rows.sparkSession)
     first = checkpoint(blocks.answered(blocks.asked(rows, ask_hashes), answer_hashes))
     release(rows.sparkSession)
@@ -346,8 +348,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated strings cut out of their texts, at whole characters; n_chars, where present, follows."""
-    kept = _run(blocks.source(docs, id_col, text_col, carry=True), _clean, "extra string, text string")
-    rest = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != text_col)
-    kept = kept.select(F.from_json("extra", rest).alias("__llm_x"), "text")
-    columns = [F.col("text").alias(c) if c == text_col else F.length("text").cast(t).alias(c) if c == "n_chars" else F.col(f"__llm_x.`{c}`").alias(c) for c, t in docs.dtypes]
+    kind = blocks.carried(docs, text_col)
+    kept = _run(blocks.source(docs, id_col, text_col, carry=True), functools.partial(_clean, kind=kind), StructType([StructField("extra", kind), StructField("text", StringType())]))
+    columns = [F.col("text").alias(c) if c == text_col else F.length("text").cast(t).alias(c) if c == "n_chars" else F.col(f"extra.`{c}`").alias(c) for c, t in docs.dtypes]
     return kept.select(*columns)

@@ -233,6 +233,17 @@ def test_texts_without_repeats(docs, clashing, corpus, empty):
     assert suffix.suffix_dedup(empty).count() == 0
 
 
+def test_other_columns_come_back_as_they_were(spark):
+    docs = spark.sql("""
+        select id doc_id, concat('text ', id, ' is its own') text, timestamp_micros(1700000000123456 + id) at, timestamp_ntz'2024-02-03 04:05:06.123456' local,
+            if(id = 2, null, map(cast(id as int), 'x', 700, null)) byint, array(named_struct('t', timestamp_micros(id), 'b', x'00ff')) nested,
+            double('NaN') nan, cast(id / 3 as decimal(30, 12)) exact, date'2024-02-03' day, cast(null as string) none, array(null, 1) holes, interval '1 02:03:04.000005' day to second took
+        from range(40)""")
+    out = suffix.without_repeats(docs)
+    assert out.dtypes == docs.dtypes
+    assert sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
+
+
 def brute_links(rows, threshold):
     v = [None if x is None or any(y is None or not math.isfinite(y) for y in x) or not any(x) else np.array(x, np.float32).astype(float) for _, x in rows]
     cos = lambda a, b: a @ b / math.sqrt(a @ a) / math.sqrt(b @ b)
