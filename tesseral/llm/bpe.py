@@ -68,7 +68,7 @@ class Memo(dict):
         return value
 
 
-def word_memos(plain: Callable[[str], object], other: Callable[[str], object]) -> tuple[Memo, Memo]:
+def word_memos(plain: Callable[[str], object], other: Callable[[str], object], cap: int = MEMO_WORDS) -> tuple[Memo, Memo]:
     """Memos of values that add up over a word's pieces: for words after a space, and for those that begin a text.
 
     plain(word) makes the value of letters alone, with their space; other(word) that of any word. Letters
@@ -93,8 +93,8 @@ def word_memos(plain: Callable[[str], object], other: Callable[[str], object]) -
 
         return value
 
-    later = Memo(make(" ", lambda: later))
-    first = Memo(make("", lambda: first), MEMO_WORDS // 2)
+    later = Memo(make(" ", lambda: later), cap)
+    first = Memo(make("", lambda: first), cap // 2)
     return later, first
 
 
@@ -116,6 +116,7 @@ class Vocabulary:
         ranks = {b: i for i, b in self.pieces.items() if i not in self.special.values()}
         joined = [(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         order = [model["vocab"][a + b] for a, b in joined]
+        self._merges = [(model["vocab"][a], model["vocab"][b], i) for (a, b), i in zip(joined, order)]
         if order != sorted(order):
             raise ValueError(f"{path}: ids do not follow the order of merges")
         self.ranks = ranks
@@ -125,6 +126,10 @@ class Vocabulary:
         self.size = max(self.pieces) + 1
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    def merges(self) -> tuple[dict[int, tuple[int, int]], dict[int, int]]:
+        """The two parts of each merged token, and the token that a pair (left << 20 | right) becomes."""
+        return {i: (a, b) for a, b, i in self._merges}, {a << 20 | b: i for a, b, i in self._merges}
+
     def single(self, piece: bytes) -> list[int]:
         return self.core._core_bpe.encode_single_piece(piece)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe_table, embed_dedup, huffman, packing, quality, secret_scan, sharding, simhash, suffix, token_counts
-from .runtime import table
+from .runtime import checkpoint, table
 
 
 def op1_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def op4_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+    return token_counts.counts_of(checkpoint(token_counts.prefix_tables(table(spark, sf_dir, "documents"))))
 
 
 def op6_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,52 @@ def test_every_prefix_has_its_exact_count(text):
         assert c.measure(text, limit) == (n[-1], max(j for j in range(len(n)) if n[j] <= limit))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([*"ab c  \n\t'sldre1.!é漢", " the", "    ", "''", "'re", "\U0001f600"]), max_size=14).map("".join))
+def test_changes_add_up_to_the_count_of_every_prefix(text):
+    c = token_counts.counter(bpe.default_path())
+    t = getattr(test_changes_add_up_to_the_count_of_every_prefix, "t", None) or Tokenizer.from_file(bpe.default_path())
+    test_changes_add_up_to_the_count_of_every_prefix.t = t
+    assert c.changes(text).cumsum().tolist() == [len(t.encode(text[: j + 1], add_special_tokens=False).ids) for j in range(len(text))]
+
+
+def test_no_cut_breaks_a_special_string():
+    c, text = token_counts.counter(bpe.default_path()), "a <|endoftext|> b"
+    assert [c.measure(text, k)[1] for k in range(6)] == [0, 1, 2, 15, 17, 17]
+
+
+@pytest.mark.parametrize("kind", ["spaces", "lines", "quotes", "script", "letters"])
+def test_a_megabyte_in_one_word_takes_seconds(kind, library):
+    import random
+    import time
+
+    n, r = 1_000_000, random.Random(5)
+    make = {
+        "spaces": lambda n: " " * n + "x", "lines": lambda n: "\n" * n, "quotes": lambda n: "'" * n, "letters": lambda n: "".join(r.choice("abcdefghij") for _ in range(n)),
+        "script": lambda n: "".join(r.choice(["a", "var", "x1", "function(", ")", "{", "}", "=", "'", "12", ";", '"use"']) for _ in range(n // 3)),
+    }[kind]
+    c = token_counts.PrefixCounter(bpe.default_path())
+    short = make(9_000)
+    total, fits = c.measure(short, 1024)
+    assert total == len(ids(library, short)) and len(ids(library, short[:fits])) <= 1024 < len(ids(library, short[: fits + 1])) + (fits == len(short)) * 1025
+    began = time.process_time()
+    assert c.measure(make(n), 1024)[0] > 1024
+    assert time.process_time() - began < 15
+
+
+def test_stored_tables_answer_any_limit(spark, docs, corpus, library, empty):
+    tables = token_counts.prefix_tables(docs).cache()
+    limits = [0, 1, 7, 100, 10**6]
+    got = sorted(((*r,) for r in token_counts.truncations(tables, limits).collect()), key=str)
+    c = token_counts.counter(bpe.default_path())
+    assert got == sorted([(d, k, c.measure(t or "", k)[1]) for d, t, *_ in corpus for k in limits], key=str)
+    at = {r[0]: r[1] for r in token_counts.counts_at(tables, 3).collect() if r[0] is not None}
+    for d, t, *_ in corpus[:10]:
+        assert at[d] == [len(ids(library, t[:j])) for j in range(3, len(t) + 1, 3)]
+    assert token_counts.truncations(token_counts.prefix_tables(empty), limits).count() == 0
+    tables.unpersist()
+
+
 @pytest.mark.parametrize("which", ["docs", "clashing"])
 def test_counts(request, corpus, library, which):
     got = rows(token_counts.token_counts(request.getfixturevalue(which), limit=100), "doc_id", "n_bytes", "n_tokens", "over_limit")
