@@ -63,51 +63,75 @@ def test_few_words_are_seen_at_any_length(n):
     assert quality.votes(quality.measures(" ".join(half)))[at] >= 0
 
 
-def brute_posterior(votes, rounds=500, weight=10.0, wrong=0.005):
+def brute_posterior(votes, rounds=500, strength=0.05):
     """The same model, document by document."""
-    n = len(quality.RULES)
-    classes = range(n + 1)
-    r = []
-    for v in votes:
-        con = [j for j in range(n) if v[j] < 0]
-        x = [0.0] + [float(j in con) for j in range(n)] if con else [0.98] + [0.02 / n] * n
-        r.append([y / sum(x) for y in x])
-    before = None
+    n = len(votes)
+    first = ((0.05, 0.2, 0.75), (0.5, 0.2, 0.3))
+    p = [0.2 if -1 in v else 0.95 for v in votes]
     for _ in range(rounds):
-        size = [sum(x[c] for x in r) for c in classes]
-        share = [(s + weight / n) / (sum(size) + weight / n * (n + 1)) for s in size]
-        if share[0] < 0.5:
-            rest = sum(share[1:])
-            share = [0.5] + [s * 0.5 / rest for s in share[1:]]
-        con = [[(sum(x[c] for x, v in zip(r, votes) if v[j] < 0) + weight * (wrong / 2 if c == 0 else 0.1 + 0.8 * (c - 1 == j))) / (size[c] + weight) for j in range(n)] for c in classes]
-        pro = [[(sum(x[c] for x, v in zip(r, votes) if v[j] > 0) + weight * (0.8 if c == 0 else 0.4)) / (size[c] + weight) for j in range(n)] for c in classes]
-        for j in range(n):
-            con[0][j] = min(max(con[0][j], 1e-4), wrong)
-            for c in classes[1:]:
-                con[c][j] = min(max(con[c][j], con[0][j]), 0.999)
-                pro[c][j] = min(pro[c][j], pro[0][j])
+        share, chance = [], []
+        for c in (0, 1):
+            held = [x if c == 0 else 1 - x for x in p]
+            share.append((sum(held) + strength * n * (0.9, 0.1)[c]) / (n + strength * n))
+            chance.append([[(sum(h for h, v in zip(held, votes) if v[j] == k - 1) + strength * n * first[c][k]) / (sum(held) + strength * n) for j in range(len(votes[0]))] for k in range(3)])
         new = []
         for v in votes:
-            p = [share[c] * np.prod([con[c][j] if v[j] < 0 else pro[c][j] if v[j] > 0 else 1.0 for j in range(n)]) for c in classes]
-            new.append([x / sum(p) for x in p])
-        r = new
-        now = [x[0] for x in r]
-        if before is not None and max(abs(a - b) for a, b in zip(now, before)) < 1e-9:
+            good, bad = (share[c] * np.prod([chance[c][x + 1][j] for j, x in enumerate(v)]) for c in (0, 1))
+            new.append(good / (good + bad))
+        done = max(abs(a - b) for a, b in zip(p, new)) < 1e-9
+        p = new
+        if done:
             break
-        before = now
-    return [x[0] for x in r]
+    return p
 
 
-def test_fit_against_documents_one_by_one():
-    r = np.random.default_rng(8)
-    votes = [tuple(int(x) for x in r.choice([-1, 0, 1], len(quality.RULES), p=[0.08, 0.4, 0.52])) for _ in range(120)]
+def counted(votes):
     counts = np.zeros(3 ** len(quality.RULES))
     for v in votes:
         counts[quality._pattern(v)] += 1
-    p = quality.fit(counts)
+    return counts
+
+
+def test_fit_against_documents_one_by_one():
+    r = np.random.default_rng(8)
+    votes = [tuple(int(x) for x in r.choice([-1, 0, 1], len(quality.RULES), p=[0.08, 0.4, 0.52])) for _ in range(120)]
+    p = quality.fit(counted(votes)).p_good
     np.testing.assert_allclose([p[quality._pattern(v)] for v in votes], brute_posterior(votes), atol=1e-6)
-    v = quality.all_patterns()
-    assert (p[~(v < 0).any(1)] >= 0.5).all()
+
+
+def test_fit_finds_the_accuracies_that_made_the_votes():
+    r, n = np.random.default_rng(3), len(quality.RULES)
+    right = np.array([[0.98, 0.9, 0.95, 0.8, 0.99, 0.97, 0.7, 0.9], [0.95, 0.8, 0.6, 0.7, 0.3, 0.9, 0.5, 0.75]])
+    votes, truth = [], r.random(40_000) < 0.85
+    for good in truth:
+        cast = r.random(n) < 0.8
+        votes.append(tuple(int(x) for x in np.where(cast, np.where(r.random(n) < right[0 if good else 1], 1 if good else -1, -1 if good else 1), 0)))
+    f = quality.fit(counted(votes))
+    assert abs(f.share[0] - 0.85) < 0.02
+    assert np.abs(f.accuracies()[0] - right[0]).max() < 0.05
+    assert np.abs(f.accuracies()[1] - right[1]).max() < 0.15  # the priors are a fourth of the bad class
+    kept = np.array([f.p_good[quality._pattern(v)] >= 0.5 for v in votes])
+    assert (kept == truth).mean() > 0.97
+    against = np.array([-1 in v for v in votes])
+    assert (kept & against & truth).sum() > 0.9 * (against & truth).sum()  # a vote against is not the end of a document
+    assert (kept[truth]).mean() > (~against[truth]).mean() + 0.3
+
+
+def test_votes_for_outweigh_a_weak_vote_against_and_abstaining_can_cost():
+    good, junk = (1,) * 8, (-1, 1, 1, 0, 1, -1, 1, 1)
+    weak = (1, -1, 1, 1, 1, 1, 1, 1)
+    f = quality.fit(counted([good] * 900 + [junk] * 90 + [(0, 0, 0, -1, 0, 0, 0, -1)] * 30 + [weak]))
+    p = lambda *v: f.p_good[quality._pattern(v)]
+    assert p(*weak) > 0.9 and p(*junk) < 0.01 and p(*good) > 0.999
+    assert p(0, 0, 0, 0, 0, 0, 0, 0) < 0.5  # no vote against, but none for
+    alone = quality.fit(counted([good] * 900))
+    assert alone.p_good[quality._pattern(weak)] > 0.9
+
+
+def test_fitted_rules(docs, empty):
+    got = {r["rule"]: r for r in quality.fitted_rules(docs).collect()}
+    assert set(got) == set(quality.RULES) and all(0 < r["accuracy_good"] < 1 and 0 < r["accuracy_bad"] < 1 for r in got.values())
+    assert quality.fitted_rules(empty).count() == len(quality.RULES)
 
 
 def test_filter(docs, clashing, corpus, empty):
