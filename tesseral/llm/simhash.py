@@ -18,12 +18,12 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -200,6 +200,10 @@ _STREAM = [np.uint64(x) for x in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x1
 #: One document in SAMPLE is counted to find common shingles; those seen COMMON times there come last, MOST of them at most.
 SAMPLE, COMMON, MOST = 16, 4, 200_000
 ROWS = 200_000
+#: Names up to this many go to all executors (some 50 MB); more are joined by shuffling.
+FEW = 200_000
+#: Sets that one group of the verification holds at once.
+HELD = 256
 
 
 def bits_apart(similarity: float, deviations: float = 8) -> int:
@@ -226,19 +230,34 @@ def profile(hashes: np.ndarray) -> list[int]:
     return out
 
 
+def _set(x, width: int) -> tuple[np.ndarray, int]:
+    """The set of a text's shingle hashes, sorted, and its name (a digest)."""
+    t = x.as_buffer()
+    h = np.unique(np.array(shingle_hashes(t.to_pybytes() if t is not None else b"", width), np.uint64))
+    return h, int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """The set of each text's shingle hashes, sorted, its name (a digest) and its fingerprints."""
     enter("simhash")
     for b in batches:
-        names, sets, prints = [], [], []
+        sets = [_set(x, width) for x in b.column(0)]
+        yield pa.record_batch([pa.array([k for _, k in sets], pa.int64()), pa.array([h.tobytes() for h, _ in sets], pa.binary())], ["key", "hashes"])
+    trim()
+
+
+def _profiles(batches: Iterator[pa.RecordBatch], width: int, similarity: float, common: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Per text the name of its set, the set's size, its prefix and fingerprints: all that finding candidates takes."""
+    enter("simhash")
+    for b in batches:
+        names, sizes, first, prints = [], [], [], []
         for x in b.column(2):
-            t = x.as_buffer()
-            h = np.unique(np.array(shingle_hashes(t.to_pybytes() if t is not None else b"", width), np.uint64))
+            h, name = _set(x, width)
+            names.append(name)
+            sizes.append(len(h))
+            first.append(prefix(h, common, times, similarity).tobytes())
             prints.append(profile(h))
-            sets.append(h.tobytes())
-            names.append(int.from_bytes(hashlib.blake2b(sets[-1], digest_size=8).digest(), "little", signed=True))
         f = np.array(prints, np.uint64).reshape(-1, STREAMS).view(np.int64)
-        yield pa.record_batch([*b.columns[:2], pa.array(names, pa.int64()), pa.array(sets, pa.binary()), *(pa.array(f[:, k]) for k in range(STREAMS))], [*b.schema.names[:2], "key", "hashes", *WIDE])
+        yield pa.record_batch([*b.columns[:2], pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.binary()), *(pa.array(f[:, k]) for k in range(STREAMS))], [*b.schema.names[:2], "key", "size", "prefix", *WIDE])
     trim()
 
 
@@ -251,8 +270,12 @@ def _each_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def common_shingles(each: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of the shingles that most sets hold, by a sample. They only decide an order: what they miss costs time, not pairs."""
-    rows = each.where(F.pmod("key", F.lit(SAMPLE)) == 0).select("hashes").mapInArrow(_each_hash, "token long")
+    """Hashes, sorted, and counts of the shingles that most sets hold, by a sample of them. They only decide an order: what they miss costs time, not pairs."""
+    return most_common(each.where(F.pmod("key", F.lit(SAMPLE)) == 0).select("hashes"))
+
+
+def most_common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    rows = sets.mapInArrow(_each_hash, "token long")
     counts = checkpoint(rows.groupBy("token").count().where(F.col("count") >= COMMON))
     least, held = COMMON, 0
     for c, n in counts.groupBy("count").agg(F.count("*")).orderBy(F.desc("count")).toLocalIterator():
@@ -278,19 +301,25 @@ def prefix(h: np.ndarray, common: np.ndarray, times: np.ndarray, similarity: flo
     return h[:size]
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], common: np.ndarray, times: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
+def _prefixed(batches: Iterator[pa.RecordBatch], common: np.ndarray, times: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in b.column(1)]
+        first = [prefix(h, common, times, similarity).tobytes() for h in sets]
+        yield pa.record_batch([b.column(0), pa.array([len(h) for h in sets], pa.int32()), pa.array(first, pa.binary())], ["key", "size", "prefix"])
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, place, key): place is the set's size and, in the low half, where in its order the token stands."""
     for b in batches:
         if not b.num_rows:
             continue
         tokens, places, counts = [], [], []
-        for x in b.column(1):
-            h = np.frombuffer(x.as_py(), np.uint64)
-            p = prefix(h, common, times, similarity)
+        for n, x in zip(b.column(1).to_pylist(), b.column(2)):
+            p = np.frombuffer(x.as_py(), np.int64)
             tokens.append(p)
-            places.append(np.int64(len(h)) << np.int64(32) | np.arange(len(p), dtype=np.int64))
+            places.append(np.int64(n) << np.int64(32) | np.arange(len(p), dtype=np.int64))
             counts.append(len(p))
-        yield pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(places)), pa.array(np.repeat(b.column(0).to_numpy(), counts))], ["token", "place", "key"])
+        yield pa.record_batch([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(places)), pa.array(np.repeat(b.column(0).to_numpy(), counts))], ["token", "place", "key"])
 
 
 def sharing(token: np.ndarray, place: np.ndarray, key: np.ndarray, similarity: float) -> np.ndarray:
@@ -348,37 +377,73 @@ def candidates(each: DataFrame, similarity: float = SIMILAR) -> DataFrame:
     order that is the same for all (prefix filtering). The order takes common shingles last, so that groups stay small.
     """
     common, times = common_shingles(each)
-    rows = each.select("key", "hashes").mapInArrow(functools.partial(_prefixes, common=common, times=times, similarity=similarity), "token long, place long, key long")
+    return meeting(each.select("key", "hashes").mapInArrow(functools.partial(_prefixed, common=common, times=times, similarity=similarity), "key long, size int, prefix binary"), similarity)
+
+
+def meeting(each: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+    """(a, b): pairs of ``key`` whose ``prefix`` share a member, at places that leave room for the similarity."""
+    rows = each.select("key", "size", "prefix").mapInArrow(_tokens, "token long, place long, key long")
     rows = rows.repartition(partitions(each.sparkSession), "token").sortWithinPartitions("token", "place")
     return rows.mapInArrow(functools.partial(_similar, similarity=similarity), "a long, b long").distinct()
 
 
+def close(pairs: DataFrame, each: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+    """The pairs whose fingerprints are not far below the similarity."""
+    for side in ("a", "b"):
+        pairs = pairs.join(each.select(F.col("key").alias(side), *[F.col(w).alias(f"{side}_{w}") for w in WIDE]), side)
+    apart = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in WIDE), F.lit(0))
+    return pairs.where(apart <= bits_apart(similarity)).select("a", "b")
+
+
 def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ok = []
-        for x, y in zip(b.column(2), b.column(3)):
-            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(both / (len(x) + len(y) - both) >= similarity)
-        ok = pa.array(ok, pa.bool_())
-        yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
+    """Rows by group: first the sets that the group holds, then sets to compare with some of them."""
+    group, held = None, {}
+    for batch in batches:
+        a, b = [], []
+        for m, s, key, others, x in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4)), batch.column(5)):
+            if (m, s) != group:
+                group, held = (m, s), {}
+            h = np.frombuffer(x.as_py(), np.uint64)
+            if others is None:
+                held[key] = h
+                continue
+            for k in others:
+                o = held[k]
+                both = len(np.intersect1d(h, o, assume_unique=True))
+                if both / (len(h) + len(o) - both) >= similarity:
+                    a.append(k)
+                    b.append(key)
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
     trim()
 
 
-def similar_links(each: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+    """The pairs (a, b) whose sets (key, hashes) have this Jaccard similarity.
+
+    Pairs are grouped by the least neighbour of ``a``, which members of a dense group share, so a set travels once
+    to its group however many pairs it is in. Groups with many ``a`` are cut into parts that hold HELD sets each.
+    """
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+    rows = pairs.join(near, "a")
+    parts = rows.groupBy("m").agg(F.count_distinct("a").alias("n"))
+    rows = rows.join(parts, "m").withColumn("s", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / HELD)).cast("int"))
+    rows = checkpoint(rows.select("m", "s", "a", "b"))
+    left = rows.select("m", "s", F.lit(0).alias("role"), F.col("a").alias("key"), F.lit(None).cast("array<long>").alias("others")).distinct()
+    right = rows.groupBy("m", "s", "b").agg(F.collect_list("a").alias("others")).select("m", "s", F.lit(1).alias("role"), F.col("b").alias("key"), "others")
+    met = left.unionByName(right).join(sets, "key").select("m", "s", "role", "key", "others", "hashes")
+    met = met.repartition(partitions(pairs.sparkSession), "m", "s").sortWithinPartitions("m", "s", "role")
+    return met.mapInArrow(functools.partial(_verify, similarity=similarity), "a long, b long")
+
+
+def similar_links(each: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float = SIMILAR) -> DataFrame:
     """(a, b): links of the distinct sets ``key`` whose Jaccard similarity is at least this, and no others.
 
-    Fingerprints only discard candidates that are far below; the sets themselves decide.
+    Fingerprints only discard candidates that are far below; the sets themselves decide. ``sets`` gives (key, hashes) for a table of keys.
     """
-    pairs = candidates(each, similarity)
-    for side in ("a", "b"):
-        pairs = pairs.join(each.select(F.col("key").alias(side), *[F.col(w).alias(f"{side}_{w}") for w in WIDE]), side)
-    apart = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in WIDE), F.lit(0))
-    pairs = checkpoint(pairs.where(apart <= bits_apart(similarity)).select("a", "b"))
+    pairs = checkpoint(close(meeting(each, similarity), each, similarity))
     release(each.sparkSession)
-    for side in ("a", "b"):
-        pairs = pairs.join(each.select(F.col("key").alias(side), F.col("hashes").alias(f"{side}_hashes")), side)
-    return pairs.select("a", "b", "a_hashes", "b_hashes").mapInArrow(functools.partial(_verify, similarity=similarity), "a long, b long")
+    return verified(pairs, sets(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()), similarity)
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, similarity: float = SIMILAR) -> DataFrame:
@@ -388,17 +453,48 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     A document is an id and a text: rows that share both are one, different texts under one id are judged
     apart, and among those of a group's least id the least digest stays. Rows without an id stand for their
     group only where nobody in it has an id. Texts without words are alike.
+
+    Shuffled are prefixes and fingerprints of all texts, and the sets of those that have a candidate; texts stay where they are as
+    long as no more than FEW of them go.
     """
     ship(docs.sparkSession)
     digest = F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)
     name = F.concat(F.coalesce(F.concat(F.lit("="), docs[id_col].cast("string")), F.lit("")), F.lit("-"), digest)
     rows = docs.select(name.alias("__llm_name"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    rows = rows.mapInArrow(functools.partial(_sets, width=width), "__llm_name string, doc_id long, key long, hashes binary, " + ", ".join(f"{w} long" for w in WIDE))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "__llm_name")).alias("least")
-    each = checkpoint(rows.groupBy("key").agg(least, *[F.first(c).alias(c) for c in ("hashes", *WIDE)]))
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
+    common, times = most_common(some.mapInArrow(functools.partial(_sets, width=width), "key long, hashes binary").select("hashes"))
+    f = functools.partial(_profiles, width=width, similarity=similarity, common=common, times=times)
+    found = rows.mapInArrow(f, "__llm_name string, doc_id long, key long, size int, prefix binary, " + ", ".join(f"{w} long" for w in WIDE))
+    found = checkpoint(found)
+    each = found.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "__llm_name")).alias("least"), *[F.first(c).alias(c) for c in ("size", "prefix", *WIDE)])
+    each = checkpoint(each)
+    release(docs.sparkSession)
+
+    def sets(keys: DataFrame) -> DataFrame:
+        names = checkpoint(each.select("key", "least").join(keys, "key").select(F.col("least.__llm_name").alias("__llm_name")))
+        texts = rows.join(_small(names), "__llm_name", "left_semi").select("text")
+        return texts.mapInArrow(functools.partial(_sets, width=width), "key long, hashes binary").dropDuplicates(["key"])
+
+    links = checkpoint(similar_links(each, sets, similarity))
     release(docs.sparkSession)
-    label = components(similar_links(each, similarity), "a", "b").withColumnRenamed("node", "key")
-    groups = each.select("key", "least").join(label, "key", "left").groupBy(F.coalesce("component", "key").alias("group")).agg(F.min("least").alias("least"))
-    kept = groups.select(F.col("least.__llm_name").alias("__llm_name"))
-    found = docs.withColumn("__llm_name", name).join(kept, "__llm_name", "left_semi")
-    return found.dropDuplicates(["__llm_name"]).drop("__llm_name")
+    label = components(links, "a", "b").withColumnRenamed("node", "key")
+    group = each.select("key", "least").join(label, "key", "left").withColumn("group", F.coalesce("component", "key"))
+    first = group.groupBy("group").agg(F.min("least").getField("__llm_name").alias("kept"))
+    return _without(docs, name, found.select("key", "__llm_name"), checkpoint(group.join(first, "group").select("key", "kept")))
+
+
+def _small(names: DataFrame) -> DataFrame:
+    return F.broadcast(names) if names.count() <= FEW else names
+
+
+def _without(docs: DataFrame, name: Column, named: DataFrame, kept: DataFrame) -> DataFrame:
+    """docs less the documents that are not their group's ``kept``, and one row of each document that is repeated."""
+    named = named.groupBy("key", "__llm_name").agg(F.count("*").alias("n")).join(kept, "key")
+    named = checkpoint(named.where((F.col("__llm_name") != F.col("kept")) | (F.col("n") > 1)).select("__llm_name", (F.col("__llm_name") == F.col("kept")).alias("stays")))
+    docs_named, gone = docs.withColumn("__llm_name", name), named.count()
+    out = docs_named.join(F.broadcast(named) if gone <= FEW else named, "__llm_name", "left_anti")
+    again = named.where("stays").select("__llm_name")
+    if n := again.count():
+        again = docs_named.join(F.broadcast(again) if n <= FEW else again, "__llm_name", "left_semi")
+        out = out.unionByName(again.dropDuplicates(["__llm_name"]))
+    return out.drop("__llm_name")

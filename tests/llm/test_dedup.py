@@ -134,8 +134,26 @@ def test_every_similar_pair_is_a_candidate_whatever_the_number(spark, monkeypatc
     assert len(simhash.common_shingles(each)[0]) > 20 and len(want) > 200 and want <= got
 
 
-def test_only_pairs_at_the_threshold_are_linked(spark):
+def test_dense_groups_are_verified_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HELD", 3)
+    r = np.random.default_rng(9)
+    base, sets = r.integers(0, 1 << 64, 60, np.uint64), []
+    for k in range(40):
+        x = base.copy()
+        x[r.integers(0, 60, 1 + k % 6)] = r.integers(0, 1 << 64, 1 + k % 6, np.uint64)
+        sets.append(np.unique(x))
+    each = spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(sets)], "key long, hashes binary")
+    pairs = [(a, b) for b in range(40) for a in range(b)]
+    got = {tuple(x) for x in simhash.verified(spark.createDataFrame(pairs, "a long, b long"), each).collect()}
+    held = [set(x.tolist()) for x in sets]
+    want = {(a, b) for a, b in pairs if len(held[a] & held[b]) / len(held[a] | held[b]) >= 0.8}
+    assert got == want and 5 < len(want) < len(pairs)
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_only_pairs_at_the_threshold_are_linked(spark, monkeypatch, few):
     """Pairs planted at 0.80 to 0.82 all go, pairs planted at 0.70 to 0.79 all stay."""
+    monkeypatch.setattr(simhash, "FEW", few)
     r = random.Random(17)
     texts, wanted = [], []
     for k in range(160):
