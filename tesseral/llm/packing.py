@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from . import bpe
 from .runtime import checkpoint, enter, ship, trim
 
-PER_BUCKET = 50_000
+#: Pieces that are ranked together: some MB, without and with their ids.
+PER_BUCKET, PER_BUCKET_WITH_IDS = 50_000, 2_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -146,7 +147,8 @@ def pack(parts: DataFrame, capacity: int = 2048) -> DataFrame:
     slots, _ = plan(counts, capacity)
     if not counts:
         return parts.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
-    n_of = spark.createDataFrame([(n, -(-c // PER_BUCKET)) for n, c in counts.items()], "length long, __llm_n long")
+    per = PER_BUCKET_WITH_IDS if "ids" in parts.columns else PER_BUCKET
+    n_of = spark.createDataFrame([(n, -(-c // per)) for n, c in counts.items()], "length long, __llm_n long")
     rows = parts.join(F.broadcast(n_of), "length").withColumn("__llm_b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "__llm_n"))
     tally = rows.groupBy("length", "__llm_b").agg(F.count("*").alias("__llm_c"))
     before = Window.partitionBy("length").orderBy("__llm_b").rowsBetween(Window.unboundedPreceding, -1)
