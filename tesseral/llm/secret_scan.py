@@ -11,7 +11,7 @@ the texts that have candidates). Owners are counted after values are reduced to
 repository) on the map side, so a value that a third of all rows hold is one row per task.
 
 Null texts have no candidates; null owners are one owner; ids may be null or repeated (one row out per row
-in); an empty table gives an empty result. The work on one text grows with the square of its matches.
+in); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,6 +36,10 @@ KINDS = {
     "private_key": (r"-----BEGIN (?:[A-Z]{2,20} )?PRIVATE KEY-----[A-Za-z0-9+/=\s]{32,}", 0, 60),
 }
 BASE = 3
+#: Matches whose positions are added up one by one; sums of blocks give the rest, so that time stays near the number of matches.
+BLOCK = 128
+#: Spans to mask up to this many go to all executors (some 50 MB); with more, the texts that have candidates are shuffled.
+FEW = 200_000
 _ANY = "|".join([rf"{_KEYWORD}[\"']?\x20*[:=]", "AKIA[A-Z0-9]{16}", "[0-9a-f]{24}", "gh[pousr]_[A-Za-z0-9]{36}", "xox[abprs]-", r"eyJ[A-Za-z0-9_-]{8}", r"(?i:bearer)\x20", r"://[^\s:/@]{1,64}:[^\s:/@]{6,64}@", "-----BEGIN"])
 
 
@@ -52,10 +56,16 @@ def _found(kind: str, number: int) -> str:
     start = "acc.at + x.gap"
     item = f"struct(cast({start} as int) as start, {number} as kind, cast({start} + x.size as int) as end, cast({start} + x.size - char_length(x.value) as int) as value_start, x.value as value)"
     empty = "cast(array() as array<struct<start:int,kind:int,end:int,value_start:int,value:string>>)"
-    return (
-        f"aggregate({zipped}, struct(0 as at, {empty} as found), (acc, x) -> if(x.size is null, acc, "
+    part = f"slice(zz, b * {BLOCK} + 1, {BLOCK})"
+    blocks = f"sequence(0, (size(zz) - 1) div {BLOCK})"
+    sums = f"transform({blocks}, b -> aggregate({part}, 0, (n, x) -> cast(n + x.gap + coalesce(x.size, 0) as int)))"
+    before = "aggregate(slice(ss, 1, cast(b as int)), 0, (n, x) -> n + x)"
+    inside = (
+        f"aggregate({part}, struct({before} as at, {empty} as found), (acc, x) -> if(x.size is null, acc, "
         f"struct(cast({start} + x.size as int) as at, if(char_length(x.value) >= {least}, array_append(acc.found, {item}), acc.found) as found))).found"
     )
+    # arrays of one element give names to the zipped array and to the sums of its blocks, so that each is computed once
+    return f"element_at(transform(array({zipped}), zz -> element_at(transform(array({sums}), ss -> flatten(transform({blocks}, b -> {inside}))), 1)), 1)"
 
 
 def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -112,22 +122,31 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_cols: tuple[str, ...] = ("source", "lang"), mask: str = "[SECRET]", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """docs with the values of live-looking secrets replaced; widely copied examples stay. n_chars, where present, follows.
 
-    Texts without candidates are passed through as they are; the others meet their verdicts by a digest of
-    id and text, which null and repeated ids do not disturb.
+    Texts meet their verdicts by a digest of id and text, which null and repeated ids do not disturb. Texts are not shuffled
+    unless very many spans are masked.
     """
-    may = F.coalesce(docs[text_col].cast("string").rlike(_ANY), F.lit(False))
-    plain, some = docs.where(~may), docs.where(may)
-    key = F.sha2(F.concat_ws(":", F.coalesce(some[id_col].cast("string"), F.lit("-")), some[text_col].cast("string")), 256)
-    some = some.withColumn("__llm_key", key)
-    marked = _owners(with_candidates(some, text_col).select("__llm_key", "__llm_found", *(F.col(c).alias(f"__llm_{c}") for c in {owner_col, *repository_cols})), f"__llm_{owner_col}", tuple(f"__llm_{c}" for c in repository_cols))
-    every = checkpoint(_exploded(marked, "__llm_key"))
+    owners = {owner_col, *repository_cols}
+    key = F.sha2(F.concat_ws(":", F.coalesce(docs[id_col].cast("string"), F.lit("-")), docs[text_col].cast("string")), 256)
+    marked = with_candidates(docs, text_col).where(F.size("__llm_found") > 0).select(key.alias("__llm_key"), "__llm_found", *(docs[c].alias(f"__llm_{c}") for c in owners))
+    every = checkpoint(_exploded(_owners(marked, f"__llm_{owner_col}", tuple(f"__llm_{c}" for c in repository_cols)), "__llm_key"))
     live = every.join(ownership(every, max_owners, max_repositories).where("is_live"), "value_hash")
     live = live.groupBy("__llm_key").agg(F.array_sort(F.collect_set(F.struct("value_start", "end"))).alias("__llm_live"))
-    some = some.join(live, "__llm_key", "left")
+    live = checkpoint(live)
+    spans = live.agg(F.sum(F.size("__llm_live"))).first()[0] or 0
+    if spans <= FEW:
+        out = docs.withColumn("__llm_key", key).join(F.broadcast(live), "__llm_key", "left")
+        return _masked(out, text_col, mask, docs.columns)
+    may = F.coalesce(docs[text_col].cast("string").rlike(_ANY), F.lit(False))
+    some = docs.where(may).withColumn("__llm_key", key).join(live, "__llm_key", "left")
+    return docs.where(~may).unionByName(_masked(some, text_col, mask, docs.columns))
+
+
+def _masked(docs: DataFrame, text_col: str, mask: str, columns: list[str]) -> DataFrame:
     t = f"cast(`{text_col}` as string)"
     step = f"struct(greatest(acc.at, s.end) as at, if(s.value_start < acc.at, acc.out, concat(acc.out, substring({t}, acc.at + 1, s.value_start - acc.at), {_quoted(mask)})) as out)"
-    new = f"aggregate(coalesce(__llm_live, array()), struct(0 as at, '' as out), (acc, s) -> {step}, acc -> concat(acc.out, substring({t}, acc.at + 1)))"
-    some = some.withColumn(text_col, F.expr(new))
-    if "n_chars" in docs.columns:
-        some = some.withColumn("n_chars", F.length(text_col).cast(dict(docs.dtypes)["n_chars"]))
-    return plain.unionByName(some.select(*docs.columns))
+    new = f"aggregate(__llm_live, struct(0 as at, '' as out), (acc, s) -> {step}, acc -> concat(acc.out, substring({t}, acc.at + 1)))"
+    kind = dict(docs.dtypes)
+    out = docs.withColumn(text_col, F.expr(f"if(__llm_live is null, {t}, {new})"))
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.expr(f"cast(if(__llm_live is null, n_chars, length(`{text_col}`)) as {kind['n_chars']})"))
+    return out.select(*columns)

@@ -231,6 +231,25 @@ def test_secrets(leaks):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_many_matches_in_one_text(spark):
+    import time
+
+    text = "é token=abc%06d; x" * 3000 % tuple(range(3000)) + " a1" * 40
+    began = time.time()
+    got = secret_scan.scan(spark.createDataFrame([(1, text, "a", "en", 0), (2, text[:20], "b", "en", 0)], "doc_id long, text string, source string, lang string, n_chars long")).collect()
+    assert time.time() - began < 60
+    by = {r["doc_id"]: r for r in got}
+    spans = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in brute_spans(text))
+    assert by[1]["n_assign"] == 3000 and by[1]["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest() and by[2]["n_assign"] == 1
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_redaction_either_way(leaks, monkeypatch, few):
+    want = sorted(secret_scan.redact(leaks).collect(), key=str)
+    monkeypatch.setattr(secret_scan, "FEW", few)
+    assert sorted(secret_scan.redact(leaks).collect(), key=str) == want
+
+
 def test_redaction(leaks, clashing, empty):
     out = secret_scan.redact(leaks)
     assert out.schema.simpleString() == leaks.schema.simpleString() and out.count() == len(SECRETS) + 1
