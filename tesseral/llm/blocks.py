@@ -124,9 +124,9 @@ def dumped(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(_dump, "block binary, data binary")
 
 
-def asked(rows: DataFrame, ask: Callable[[Block, int], dict[int, bytes]]) -> DataFrame:
-    """(block, bucket, asked): ask(block, buckets) gives the packed questions by bucket."""
-    return rows.mapInArrow(functools.partial(_ask, ask=ask, buckets=partitions(rows.sparkSession)), ASKED)
+def asked(rows: DataFrame, ask: Callable[[Block, int], dict[int, bytes]], buckets: int | None = None) -> DataFrame:
+    """(block, bucket, asked): ask(block, buckets) gives the packed questions by bucket, as many as shuffle partitions if not said."""
+    return rows.mapInArrow(functools.partial(_ask, ask=ask, buckets=buckets or partitions(rows.sparkSession)), ASKED)
 
 
 def answered(questions: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -> DataFrame:

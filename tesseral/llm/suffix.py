@@ -25,6 +25,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +44,9 @@ LENGTH, GRAM = 50, 24
 WIDE = LENGTH - GRAM + 1
 CONTEXT = LENGTH + WIDE - 1
 LATE = np.iinfo(np.int64).max
-PART = 1 << 17
+PART, CHUNK = 1 << 17, 1 << 16
+#: Buckets a shuffle partition: one bucket is sorted at a time.
+BUCKETS = 3
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -100,78 +105,148 @@ def sample(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return at, mine, bits
 
 
+class Part(NamedTuple):
+    """The sample of some consecutive bytes: place in buffer, hash and strings of each position; documents from ``first`` on begin at ``begin``."""
+
+    first: int
+    begin: np.ndarray
+    hash: np.ndarray
+    bits: np.ndarray
+    buffer: np.ndarray
+    at: np.ndarray
+
+    def docs(self, rows: np.ndarray) -> np.ndarray:
+        return self.first + np.searchsorted(self.begin, self.at[rows], "right") - 1
+
+    def contexts(self, rows: np.ndarray) -> np.ndarray:
+        """CONTEXT bytes around the sample positions; zeros outside of the document."""
+        return np.lib.stride_tricks.sliding_window_view(self.buffer, CONTEXT)[self.at[rows] - (WIDE - 1)]
+
+
 class Sampled:
-    """The sample of a whole block: document index, position in it, hash, strings."""
+    """The sample of a block, in parts of some PART bytes. Long documents are cut: a part holds the strings that start in it.
+
+    Parts of common blocks are kept, those of blocks with very long texts made again for each use, so that memory
+    follows the distinct contexts of a block and not its positions.
+    """
 
     def __init__(self, block: blocks.Block):
         enter("suffix")
         self.block = block
-        doc, pos, hashes, bits, k = [], [], [], [], 0
-        texts = block.texts
+        self.order = np.array([LATE if d is None else d for d in block.docs], np.int64)
+        self.kept: list[Part] | None = list(self.make()) if sum(map(len, block.texts)) <= 2 * blocks.BLOCK_BYTES else None
+
+    def parts(self) -> Iterator[Part]:
+        return iter(self.kept) if self.kept is not None else self.make()
+
+    def make(self) -> Iterator[Part]:
+        texts, k, before, after = self.block.texts, 0, bytes(WIDE - 1), bytes(CONTEXT)
         while k < len(texts):
-            held, size = k, 0
+            if len(texts[k]) > PART:
+                whole = np.frombuffer(b"".join([before, texts[k], after]), np.uint8)
+                starts = len(texts[k]) - LENGTH + 1
+                for s in range(0, starts, PART):
+                    e = min(s + PART, starts)
+                    buffer = whole[s : e + LENGTH - 1 + WIDE - 1 + CONTEXT]
+                    at, h, bits = sample(buffer, np.array([WIDE - 1]), np.array([WIDE - 1 + e - s + LENGTH - 1]))
+                    yield Part(k, np.array([WIDE - 1 - s]), h, bits, buffer, at)
+                k += 1
+                continue
+            held, size, pieces = k, 0, []
             while k < len(texts) and (k == held or size + len(texts[k]) <= PART):
+                pieces += [before, texts[k], after]
                 size += len(texts[k])
                 k += 1
             sizes = np.array([len(t) for t in texts[held:k]])
-            end = np.cumsum(sizes)
-            at, h, b = sample(np.frombuffer(b"".join(texts[held:k]), np.uint8), end - sizes, end)
-            d = np.searchsorted(end, at, "right")
-            doc.append(d + held)
-            pos.append(at - (end - sizes)[d])
-            hashes.append(h)
-            bits.append(b)
-        cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        self.doc, self.pos, self.hash, self.bits = cat(doc, np.int64), cat(pos, np.int64), cat(hashes, np.uint64), cat(bits, np.uint32)
-        self.order = np.array([LATE if d is None else d for d in block.docs], np.int64)
+            start = np.cumsum(sizes + WIDE - 1 + CONTEXT) - sizes - CONTEXT
+            buffer = np.frombuffer(b"".join(pieces), np.uint8)
+            at, h, bits = sample(buffer, start, start + sizes)
+            yield Part(held, start, h, bits, buffer, at)
 
     def distinct(self, buckets: int):
-        """Distinct hashes, each one's bucket, and how often it occurs here."""
-        h, inverse, count = np.unique(self.hash, return_inverse=True, return_counts=True)
-        return h, _bucket(h, buckets), inverse, count
-
-    def shared(self, buckets: int, got: dict[tuple[int, int], bytes]) -> np.ndarray:
-        """Whether each sample position's hash occurs more than once in the corpus."""
-        h, bucket, inverse, count = self.distinct(buckets)
-        more = count > 1
-        by = np.argsort(bucket, kind="stable")
-        edges = np.flatnonzero(np.r_[True, np.diff(bucket[by]) != 0]) if len(by) else []
-        for lo, hi in zip(edges, [*edges[1:], len(by)]):
-            at = by[lo:hi]
-            more[at] |= np.unpackbits(np.frombuffer(got[0, int(bucket[at[0]])], np.uint8), count=hi - lo).astype(bool)
-        return more[inverse]
-
-    def contexts(self, at: np.ndarray) -> np.ndarray:
-        """CONTEXT bytes around the sample positions ``at``; zeros outside of the document."""
-        out = np.zeros((len(at), CONTEXT), np.uint8)
-        docs = self.doc[at]
-        edges = np.flatnonzero(np.r_[True, np.diff(docs) != 0]) if len(at) else []
-        for lo, hi in zip(edges, [*edges[1:], len(at)]):
-            t = np.frombuffer(self.block.texts[docs[lo]], np.uint8)
-            padded = np.concatenate([np.zeros(WIDE - 1, np.uint8), t, np.zeros(CONTEXT, np.uint8)])
-            out[lo:hi] = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[self.pos[at[lo:hi]]]
-        return out
-
-    def questions(self, at: np.ndarray):
-        """Distinct (strings, context) among the positions at: rows, their least document, where each position's is."""
-        c = self.contexts(at)
-        bits = self.bits[at]
-        wide = np.zeros((len(at), -(-CONTEXT // 8) * 8), np.uint8)
-        wide[:, :CONTEXT] = c
-        key = bits.astype(np.uint64)
-        for column in wide.view(np.uint64).T:
-            key = _mix(key + column)
-        by = np.argsort(key, kind="stable")
-        new = np.ones(len(at), bool)
-        if len(at):
-            a, b = by[1:], by[:-1]
-            new[1:] = (key[a] != key[b]) | (bits[a] != bits[b]) | (c[a] != c[b]).any(1)
-        which = np.zeros(len(at), np.int64)
-        which[by] = np.cumsum(new) - 1
-        first = by[new]
-        least = np.full(len(first), LATE)
-        np.minimum.at(least, which, self.order[self.doc[at]])
-        return first, least, which, c
+        """Distinct hashes, each one's bucket, and whether it occurs twice here."""
+        found, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for group in _some(self.parts(), 16):
+            each = [np.unique(p.hash, return_counts=True) for p in group]
+            every = np.concatenate([found, *(h for h, _ in each)])
+            found, inverse = np.unique(every, return_inverse=True)
+            counts = np.bincount(inverse, np.concatenate([counts, *(n for _, n in each)]), len(found)).astype(np.int64)
+        return found, _bucket(found, buckets), counts > 1
+
+    def shared(self, buckets: int, got: dict[tuple[int, int], bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct hashes, and whether each occurs more than once in the corpus."""
+        h, bucket, more = self.distinct(buckets)
+        for b, at in _cut(bucket):
+            more[at] |= np.unpackbits(np.frombuffer(got[0, b], np.uint8), count=len(at)).astype(bool)
+        return h, more
+
+    def asking(self, shared: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[Part, np.ndarray, np.ndarray]]:
+        """Per part the rows whose hash is shared, and their names: two digests of strings and context."""
+        h, more = shared
+        for p in self.parts():
+            rows = np.flatnonzero(more[np.searchsorted(h, p.hash)]) if len(h) else np.zeros(0, np.int64)
+            name = np.zeros((2, len(rows)), np.uint64)
+            for lo in range(0, len(rows), CHUNK):
+                some = rows[lo : lo + CHUNK]
+                wide = np.zeros((len(some), -(-CONTEXT // 8) * 8), np.uint8)
+                wide[:, :CONTEXT] = p.contexts(some)
+                one, two = p.bits[some].astype(np.uint64), ~p.bits[some].astype(np.uint64)
+                for column in wide.view(np.uint64).T:
+                    one, two = _mix(one + column), _mix(two ^ column) + _M1
+                name[0, lo : lo + CHUNK], name[1, lo : lo + CHUNK] = one, two
+            yield p, rows, name
+
+    def questions(self, shared) -> Questions:
+        """The distinct contexts that are asked for, in order of their names."""
+        q = Questions.none()
+        for group in _some(self.asking(shared), 16):
+            q = Questions.join([q, *(Questions.of(p, rows, name, self.order) for p, rows, name in group)])
+        return q
+
+
+class Questions(NamedTuple):
+    name: np.ndarray
+    least: np.ndarray
+    hash: np.ndarray
+    bits: np.ndarray
+    context: np.ndarray
+
+    @classmethod
+    def none(cls) -> Questions:
+        return cls(np.zeros((2, 0), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros((0, CONTEXT), np.uint8))
+
+    @classmethod
+    def of(cls, p: Part, rows: np.ndarray, name: np.ndarray, order: np.ndarray) -> Questions:
+        first, least = _first(name, order[p.docs(rows)])
+        at = rows[first]
+        return cls(name[:, first], least, p.hash[at], p.bits[at], p.contexts(at))
+
+    @classmethod
+    def join(cls, parts: list[Questions]) -> Questions:
+        name, least, h, bits, context = (np.concatenate(x, axis=-1 if k == 0 else 0) for k, x in enumerate(zip(*parts)))
+        first, least = _first(name, least)
+        return cls(name[:, first], least, h[first], bits[first], context[first])
+
+    def find(self, name: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.name[0], name[0])
+        while (other := np.flatnonzero(self.name[1, at] != name[1])).size:  # equal first digests: the next ones
+            at[other] += 1
+        return at
+
+
+def _first(name: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each distinct name, in order: one place, and the least value."""
+    n = name.shape[1]
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    by = np.lexsort((name[1], name[0]))
+    new = np.flatnonzero(np.r_[True, (name[:, by[1:]] != name[:, by[:-1]]).any(0)])
+    return by[new], np.minimum.reduceat(least[by], new)
+
+
+def _some(items: Iterator, n: int) -> Iterator[list]:
+    while group := list(itertools.islice(items, n)):
+        yield group
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -186,7 +261,7 @@ def _cut(bucket: np.ndarray):
 
 
 def ask_hashes(block: blocks.Block, buckets: int) -> dict[int, bytes]:
-    h, bucket, _, _ = Sampled(block).distinct(buckets)
+    h, bucket, _ = Sampled(block).distinct(buckets)
     return {b: h[at].tobytes() for b, at in _cut(bucket)}
 
 
@@ -204,13 +279,11 @@ def answer_hashes(asked: list[bytes]) -> list[bytes]:
 
 def ask_contexts(block: blocks.Block, got: dict, buckets: int) -> pa.Table:
     s = Sampled(block)
-    at = np.flatnonzero(s.shared(buckets, got))
-    first, least, _, c = s.questions(at)
+    q = s.questions(s.shared(buckets, got))
     names, sent = [], []
-    for b, rows in _cut(_bucket(s.hash[at[first]], buckets)):
-        f = first[rows]
+    for b, rows in _cut(_bucket(q.hash, buckets)):
         names.append(b)
-        sent.append(zstandard.ZstdCompressor(1).compress(np.array([len(f)], "<i8").tobytes() + least[rows].tobytes() + s.bits[at[f]].tobytes() + c[f].tobytes()))
+        sent.append(zstandard.ZstdCompressor(1).compress(np.array([len(rows)], "<i8").tobytes() + q.least[rows].tobytes() + q.bits[rows].tobytes() + q.context[rows].tobytes()))
     return pa.table({"block": pa.array([block.name] * len(names), pa.binary()), "bucket": pa.array(names, pa.int32()), "asked": pa.array(sent, pa.binary())})
 
 
@@ -267,30 +340,37 @@ def answer_contexts(asked: list[bytes]) -> list[bytes]:
 def removed_runs(block: blocks.Block, got: dict, buckets: int) -> list[np.ndarray]:
     """Per document the removed runs, as rows of (start, end)."""
     s = Sampled(block)
-    at = np.flatnonzero(s.shared(buckets, got))
-    first, least, which, _ = s.questions(at)
-    told = np.zeros(len(first), np.uint32)
-    for b, rows in _cut(_bucket(s.hash[at[first]], buckets)):
+    shared = s.shared(buckets, got)
+    q = s.questions(shared)
+    told = np.zeros(len(q.least), np.uint32)
+    for b, rows in _cut(_bucket(q.hash, buckets)):
         told[rows] = np.frombuffer(got[1, b], np.uint32)
-    later = s.order[s.doc[at]] > least[which]
-    gone = np.where(later, s.bits[at] | told[which], told[which])
-    docs, pos = s.doc[at], s.pos[at]
-    marks: dict[int, list[np.ndarray]] = {}
-    for o in range(WIDE):
-        hit = np.flatnonzero(gone >> np.uint32(o) & np.uint32(1))
-        if len(hit):
-            d, p = docs[hit], pos[hit] - (WIDE - 1 - o)
-            edges = np.flatnonzero(np.r_[True, np.diff(d) != 0])
-            for lo, hi in zip(edges, [*edges[1:], len(d)]):
-                marks.setdefault(int(d[lo]), []).append(p[lo:hi])
+    found: dict[int, list[np.ndarray]] = {}
+    for p, rows, name in s.asking(shared):
+        if not len(rows):
+            continue
+        which = q.find(name)
+        gone = np.where(s.order[p.docs(rows)] > q.least[which], p.bits[rows] | told[which], told[which])
+        mark = np.zeros(len(p.buffer), bool)
+        for o in range(WIDE):
+            mark[p.at[rows[gone >> np.uint32(o) & np.uint32(1) == 1]] - (WIDE - 1 - o)] = True
+        at = np.flatnonzero(mark)
+        if not len(at):
+            continue
+        new = np.flatnonzero(np.r_[True, at[1:] > at[:-1] + LENGTH])  # documents lie farther apart in the buffer
+        owner = np.searchsorted(p.begin, at[new], "right") - 1
+        for d, start, end in zip(owner.tolist(), at[new].tolist(), (at[np.r_[new[1:], len(at)] - 1] + LENGTH).tolist()):
+            found.setdefault(p.first + d, []).append((start - int(p.begin[d]), end - int(p.begin[d])))
     none = np.zeros((0, 2), np.int64)
     out = [none] * len(block.texts)
-    for d, parts in marks.items():
-        p = np.unique(np.concatenate(parts))
-        new = np.r_[True, p[1:] > p[:-1] + LENGTH]
-        start = p[new]
-        end = np.r_[p[np.flatnonzero(new)[1:] - 1], p[-1]] + LENGTH
-        out[d] = np.stack([start, end], 1)
+    for d, runs in found.items():
+        joined: list[list[int]] = []
+        for start, end in sorted(runs):
+            if joined and start <= joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], end)
+            else:
+                joined.append([start, end])
+        out[d] = np.array(joined, np.int64)
     return out
 
 
@@ -332,8 +412,8 @@ def _clean(block: blocks.Block, got: dict, buckets: int, kind: StructType) -> pa
 
 
 def _run(rows: DataFrame, finish, schema: str | StructType) -> DataFrame:
-    buckets = blocks.partitions(rows.sparkSession)
-    first = checkpoint(blocks.answered(blocks.asked(rows, ask_hashes), answer_hashes))
+    buckets = BUCKETS * blocks.partitions(rows.sparkSession)
+    first = checkpoint(blocks.answered(blocks.asked(rows, ask_hashes, buckets), answer_hashes))
     release(rows.sparkSession)
     contexts = blocks.met(blocks.dumped(rows), [first], functools.partial(ask_contexts, buckets=buckets), blocks.ASKED)
     second = checkpoint(blocks.answered(contexts, answer_contexts))

@@ -239,6 +239,30 @@ def test_suffix_of_repetitive_texts(texts, cut):
     assert sorted(got, key=str) == brute_suffix(rows)
 
 
+LONG = """
+import resource
+from tesseral.llm import blocks, suffix
+text, got, b = b"a" * 5_000_000, {}, 4
+one = blocks.Block([2, 1], [text, text[:300_000]])
+for k, asked in suffix.ask_hashes(one, b).items():
+    got[0, k] = suffix.answer_hashes([asked])[0]
+t = suffix.ask_contexts(one, got, b)
+for k, asked in zip(t["bucket"].to_pylist(), t["asked"].to_pylist()):
+    got[1, k] = suffix.answer_contexts([asked])[0]
+runs = suffix.removed_runs(one, got, b)
+print([r.tolist() for r in runs], resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+
+
+def test_memory_does_not_follow_repetitive_texts():
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", LONG], capture_output=True, text=True, check=True).stdout
+    runs, mb = out.rsplit(" ", 1)
+    assert runs == "[[[0, 5000000]], []]" and int(mb) < 600
+
+
 def test_texts_without_repeats(docs, clashing, corpus, empty):
     out = suffix.without_repeats(docs)
     assert out.schema.simpleString() == docs.schema.simpleString()
