@@ -104,6 +104,7 @@ class Vocabulary:
     def __init__(self, path: str):
         import tiktoken
 
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec["pre_tokenizer"] or {}
@@ -116,7 +117,6 @@ class Vocabulary:
         ranks = {b: i for i, b in self.pieces.items() if i not in self.special.values()}
         joined = [(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         order = [model["vocab"][a + b] for a, b in joined]
-        self._merges = [(model["vocab"][a], model["vocab"][b], i) for (a, b), i in zip(joined, order)]
         if order != sorted(order):
             raise ValueError(f"{path}: ids do not follow the order of merges")
         self.ranks = ranks
@@ -128,7 +128,14 @@ class Vocabulary:
 
     def merges(self) -> tuple[dict[int, tuple[int, int]], dict[int, int]]:
         """The two parts of each merged token, and the token that a pair (left << 20 | right) becomes."""
-        return {i: (a, b) for a, b, i in self._merges}, {a << 20 | b: i for a, b, i in self._merges}
+        with open(self.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        ids, parts, joined = model["vocab"], {}, {}
+        for m in model["merges"]:
+            a, b = m.split(" ") if isinstance(m, str) else m
+            parts[ids[a + b]] = ids[a], ids[b]
+            joined[ids[a] << 20 | ids[b]] = ids[a + b]
+        return parts, joined
 
     def single(self, piece: bytes) -> list[int]:
         return self.core._core_bpe.encode_single_piece(piece)

@@ -27,6 +27,7 @@ from .runtime import checkpoint, enter, ship, trim
 
 #: Pieces that are ranked together: some MB, without and with their ids.
 PER_BUCKET, PER_BUCKET_WITH_IDS = 50_000, 2_000
+BATCH_BYTES = 4 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -35,8 +36,14 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end: int, capacity: in
     enter("tokens")
     enc = bpe.packed_encoder(path)
     mark = np.array([end], "<u4").tobytes()
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+    def made() -> pa.RecordBatch:
+        cols = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc))]
+        return pa.record_batch([*cols, pa.array(ids, pa.binary())] if keep_ids else cols, [*names, "ids"] if keep_ids else names)
+
     for b in batches:
-        doc, piece, start, length, crc, ids = [], [], [], [], [], []
+        doc, piece, start, length, crc, ids, size = [], [], [], [], [], [], 0
         for d, x in zip(b.column(0).to_pylist(), b.column(1)):
             data = enc.encode(x.as_py() or "") + mark
             n = len(data) // 4
@@ -50,9 +57,11 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end: int, capacity: in
                 crc.append(zlib.crc32(part))
                 if keep_ids:
                     ids.append(part)
-        cols = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc))]
-        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-        yield pa.record_batch([*cols, pa.array(ids, pa.binary())] if keep_ids else cols, [*names, "ids"] if keep_ids else names)
+                    size += len(part)
+            if size > BATCH_BYTES:
+                yield made()
+                doc, piece, start, length, crc, ids, size = [], [], [], [], [], [], 0
+        yield made()
     trim()
 
 

@@ -60,15 +60,17 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(to)
     if "spark.sql.execution.arrow.maxRecordsPerBatch" not in dict(sc.getConf().getAll()):
         # whole texts cross to Python: batches of some MB rather than ten thousand rows
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     _SHIPPED.add(sc.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; set for the session where the cluster names none."""
+    """The folder that all executors share. A local session that names none gets a temporary one; on a cluster that is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     if not sc._jsc.sc().getCheckpointDir().isDefined():

@@ -26,7 +26,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -196,10 +196,10 @@ class Sampled:
                 name[0, lo : lo + CHUNK], name[1, lo : lo + CHUNK] = one, two
             yield p, rows, name
 
-    def questions(self, shared) -> Questions:
+    def questions(self, asking: Iterable) -> Questions:
         """The distinct contexts that are asked for, in order of their names."""
         q = Questions.none()
-        for group in _some(self.asking(shared), 16):
+        for group in _some(iter(asking), 16):
             q = Questions.join([q, *(Questions.of(p, rows, name, self.order) for p, rows, name in group)])
         return q
 
@@ -279,7 +279,7 @@ def answer_hashes(asked: list[bytes]) -> list[bytes]:
 
 def ask_contexts(block: blocks.Block, got: dict, buckets: int) -> pa.Table:
     s = Sampled(block)
-    q = s.questions(s.shared(buckets, got))
+    q = s.questions(s.asking(s.shared(buckets, got)))
     names, sent = [], []
     for b, rows in _cut(_bucket(q.hash, buckets)):
         names.append(b)
@@ -341,12 +341,13 @@ def removed_runs(block: blocks.Block, got: dict, buckets: int) -> list[np.ndarra
     """Per document the removed runs, as rows of (start, end)."""
     s = Sampled(block)
     shared = s.shared(buckets, got)
-    q = s.questions(shared)
+    asking = s.asking(shared) if s.kept is None else list(s.asking(shared))
+    q = s.questions(asking)
     told = np.zeros(len(q.least), np.uint32)
     for b, rows in _cut(_bucket(q.hash, buckets)):
         told[rows] = np.frombuffer(got[1, b], np.uint32)
     found: dict[int, list[np.ndarray]] = {}
-    for p, rows, name in s.asking(shared):
+    for p, rows, name in s.asking(shared) if s.kept is None else asking:
         if not len(rows):
             continue
         which = q.find(name)
