@@ -325,3 +325,21 @@ def test_recall_at_the_threshold():
     a, b = embed_dedup.hashes(x, k, tables), embed_dedup.hashes(y, k, tables)
     met = ((a[:, :, :1] == b).any(2) | (b[:, :, :1] == a).any(2)).any(1)
     assert met.mean() > 0.995
+
+
+@pytest.mark.parametrize("dim", [24, 64, 384, 1024])
+@pytest.mark.parametrize("n", [10**3, 10**6, 10**9])
+def test_recall_holds_for_any_number_of_vectors_and_any_dimension(n, dim):
+    """The shape is that for n vectors; pairs at the threshold itself meet in it."""
+    r, pairs = np.random.default_rng([n, dim]), 400 if dim < 100 else 120
+    x = r.normal(size=(pairs, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z = r.normal(size=(pairs, dim))
+    z -= (z * x).sum(1)[:, None] * x
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    y = 0.9501 * x + math.sqrt(1 - 0.9501**2) * z
+    k, tables = embed_dedup.shape_for(n, dim)
+    same, near = embed_dedup.meeting_chances(dim, 0.95)
+    assert (1 - same**k - k * same ** (k - 1) * near) ** tables <= 1e-4
+    a, b = embed_dedup.hashes(x, k, tables), embed_dedup.hashes(y, k, tables)
+    assert ((a[:, :, :1] == b).any(2) | (b[:, :, :1] == a).any(2)).any(1).mean() > 0.99
