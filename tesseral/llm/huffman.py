@@ -10,7 +10,8 @@ File layout of one part (little-endian):
 The code is one for all parts: only lengths per id are kept (``code.bin``), canonical order gives the
 words. Lengths come from counts over the whole corpus, limited by package-merge so that one table
 look-up of ``limit`` bits decodes any id. A block is decoded from its offset without its neighbours, so
-all blocks of a part are decoded side by side, one table look-up each per step.
+a reader fetches and decodes only the blocks of the range it wants, side by side, one table look-up each per step.
+Parts are rolled at ROLL ids and read in ranges of about a million, so memory follows neither the corpus nor its partitions.
 
 Parts hold ascending ranges of doc_id (nulls first; rows of equal id and ids in any order). A part is
 written under another name and renamed, so a task that runs twice leaves one whole file. Null texts
@@ -35,6 +36,8 @@ from . import bpe
 from .runtime import checkpoint, partitions, shared_dir, ship
 
 MAGIC, VERSION, BLOCK = b"TIDH", 1, 512
+#: Ids of a part, about: what a task holds of it while writing is some 1.5 bytes each, and the driver's list has a row a part.
+ROLL = 1 << 24
 HEAD = struct.Struct("<4sIIQQQ")
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -149,69 +152,114 @@ def _histogram(batches: Iterator[pa.RecordBatch], kind: str, size: int) -> Itera
     yield pa.record_batch([pa.array(ids), pa.array(total[ids])], ["id", "n"])
 
 
-def _write(batches: Iterator[pa.RecordBatch], to: str, kind: str, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One file per partition; block offsets, documents and payload are written when its rows are through."""
-    from pyspark import TaskContext
+class _Part:
+    """One file while it is written: documents and whole blocks of ids, encoded as they come."""
+
+    def __init__(self, kind: str, lengths: np.ndarray, words: np.ndarray):
+        self.kind, self.lengths, self.words = kind, lengths, words
+        self.docs, self.flags, self.sizes, self.offsets, self.payload = [], [], [], [], []
+        self.tokens, self.bits, self.held, self.n_held = 0, 0, [], 0
 
-    words = canonical(lengths)
-    docs, flags, sizes, offsets, payload, part = [], [], [], [], [], TaskContext.get().partitionId()
-    bits, held, n_held = 0, [], 0
+    def add(self, doc: int | None, data: bytes) -> None:
+        n = len(data) // np.dtype(self.kind).itemsize
+        self.docs.append(doc or 0)
+        self.flags.append(doc is not None)
+        self.sizes.append(n)
+        self.held.append(data)
+        self.tokens += n
+        self.n_held += n
+        if self.n_held >= 1 << 20:
+            self.flush(False)
 
-    def flush(last: bool) -> None:
-        nonlocal bits, held, n_held
-        ids = np.frombuffer(b"".join(held), kind)
+    def flush(self, last: bool) -> None:
+        ids = np.frombuffer(b"".join(self.held), self.kind)
         cut = len(ids) if last else len(ids) // BLOCK * BLOCK
         if cut:
-            at, data = encode(ids[:cut], lengths, words)
-            n_bits = int(lengths[ids[:cut]].sum(dtype=np.int64))
-            offsets.append(at + np.uint64(bits))
+            at, data = encode(ids[:cut], self.lengths, self.words)
+            n_bits = int(self.lengths[ids[:cut]].sum(dtype=np.int64))
+            self.offsets.append(at + np.uint64(self.bits))
             whole = data[: -(-n_bits // 8)]
             # blocks of separate flushes begin on a byte, so that they can simply be put one after another
-            payload.append(whole)
-            bits += 8 * len(whole)
-        held, n_held = [ids[cut:].tobytes()], len(ids) - cut
+            self.payload.append(whole)
+            self.bits += 8 * len(whole)
+        self.held, self.n_held = [ids[cut:].tobytes()], len(ids) - cut
+
+    def save(self, to: str, name: str) -> None:
+        self.flush(True)
+        body = b"".join(self.payload) + bytes(4)
+        at = np.concatenate(self.offsets) if self.offsets else np.zeros(0, np.uint64)
+        filesystem, root = open_fs(to)
+        draft = f"{root}/draft-{uuid.uuid4().hex}"
+        with filesystem.open_output_stream(draft) as f:
+            f.write(HEAD.pack(MAGIC, VERSION, BLOCK, self.tokens, len(self.docs), len(body)))
+            for a in (at.astype("<u8"), np.array(self.docs, "<i8"), np.array(self.flags, np.uint8), np.array(self.sizes, "<u8")):
+                f.write(a.tobytes())
+            f.write(body)
+        filesystem.move(draft, f"{root}/{name}")
+
+
+def _write(batches: Iterator[pa.RecordBatch], to: str, kind: str, lengths: np.ndarray, roll: int) -> Iterator[pa.RecordBatch]:
+    """Files of some roll ids; a file ends with a document."""
+    from pyspark import TaskContext
+
+    words, task = canonical(lengths), TaskContext.get().partitionId()
+    done: list[tuple[int, int, int, str]] = []
+    part = _Part(kind, lengths, words)
+
+    def close() -> None:
+        nonlocal part
+        name = f"part-{task:06d}-{len(done):05d}.tidh"
+        part.save(to, name)
+        done.append((len(done), part.tokens, len(part.docs), name))
+        part = _Part(kind, lengths, words)
 
     for b in batches:
         for d, x in zip(b.column(0).to_pylist(), b.column(1)):
-            data = x.as_py()
-            docs.append(d or 0)
-            flags.append(d is not None)
-            sizes.append(len(data) // np.dtype(kind).itemsize)
-            held.append(data)
-            n_held += sizes[-1]
-            if n_held >= 1 << 20:
-                flush(False)
-    if not docs:
-        return
-    flush(True)
-    body = b"".join(payload) + bytes(4)
-    at = np.concatenate(offsets) if offsets else np.zeros(0, np.uint64)
-    filesystem, root = open_fs(to)
-    name = f"{root}/part-{part:06d}.tidh"
-    draft = f"{root}/draft-{uuid.uuid4().hex}"
-    with filesystem.open_output_stream(draft) as f:
-        f.write(HEAD.pack(MAGIC, VERSION, BLOCK, sum(sizes), len(docs), len(body)))
-        for a in (at.astype("<u8"), np.array(docs, "<i8"), np.array(flags, np.uint8), np.array(sizes, "<u8")):
-            f.write(a.tobytes())
-        f.write(body)
-    filesystem.move(draft, name)
-    yield pa.record_batch([pa.array([part], pa.int32()), pa.array([sum(sizes)], pa.int64()), pa.array([len(docs)], pa.int64()), pa.array([name])], ["part", "tokens", "docs", "name"])
-
-
-def read_part(data: bytes, look: np.ndarray, limit: int) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """(doc ids, tokens of each, all ids) of one file."""
-    magic, version, block, tokens, n_docs, n_payload = HEAD.unpack_from(data)
-    if magic != MAGIC or version != VERSION:
-        raise ValueError("not a token-id file")
-    at, n_blocks = HEAD.size, -(-tokens // block)
-    def take(kind, n):
-        nonlocal at
-        a = np.frombuffer(data, kind, n, at)
-        at += a.nbytes
-        return a
-    offsets, docs, flags, sizes = take("<u8", n_blocks), take("<i8", n_docs), take(np.uint8, n_docs), take("<u8", n_docs)
-    ids = decode(data[at : at + n_payload], offsets, tokens, look, limit, block)
-    return [int(d) if f else None for d, f in zip(docs, flags)], sizes.astype(np.int64), ids
+            part.add(d, x.as_py())
+            if part.tokens >= roll:
+                close()
+    if part.docs:
+        close()
+    cols = list(zip(*done)) or [()] * 4
+    yield pa.record_batch([pa.array([task] * len(done), pa.int32()), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], ["task", "part", "tokens", "docs", "name"])
+
+
+class PartFile:
+    """A part opened for reading. Ids are decoded for ranges, from the blocks that hold them and no others."""
+
+    def __init__(self, file: pa.NativeFile, look: np.ndarray, limit: int):
+        self.file, self.look, self.limit = file, look, limit
+        magic, version, self.block, self.tokens, n_docs, self.n_payload = HEAD.unpack(file.read(HEAD.size))
+        if magic != MAGIC or version != VERSION:
+            raise ValueError("not a token-id file")
+        take = lambda kind, n: np.frombuffer(file.read(n * np.dtype(kind).itemsize), kind)
+        self.offsets = take("<u8", -(-self.tokens // self.block)).astype(np.int64)
+        docs, flags, sizes = take("<i8", n_docs), take(np.uint8, n_docs), take("<u8", n_docs)
+        self.docs = [int(d) if f else None for d, f in zip(docs, flags)]
+        self.ends = np.cumsum(sizes.astype(np.int64))
+        self.body = file.tell()
+
+    def ids(self, start: int, end: int) -> np.ndarray:
+        """The ids from start to end of the part."""
+        first, last = start // self.block, -(-end // self.block)
+        if first >= last:
+            return np.zeros(0, np.uint32)
+        low = int(self.offsets[first]) >> 3
+        high = (int(self.offsets[last]) >> 3) + 8 if last < len(self.offsets) else self.n_payload
+        self.file.seek(self.body + low)
+        data = self.file.read(min(high, self.n_payload) - low)
+        n = min(last * self.block, self.tokens) - first * self.block
+        out = decode(data, self.offsets[first:last] - 8 * low, n, self.look, self.limit, self.block)
+        return out[start - first * self.block : end - first * self.block]
+
+    def groups(self, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(first document, last but one, their ids) for runs of documents of some most ids."""
+        k = 0
+        while k < len(self.docs):
+            start = int(self.ends[k - 1]) if k else 0
+            last = max(k + 1, int(np.searchsorted(self.ends, start + most, "right")))
+            yield k, last, self.ids(start, int(self.ends[last - 1]))
+            k = last
 
 
 def _read(batches: Iterator[pa.RecordBatch], to: str, limit: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
@@ -219,18 +267,20 @@ def _read(batches: Iterator[pa.RecordBatch], to: str, limit: int, keep_ids: bool
     with filesystem.open_input_file(f"{root}/code.bin") as f:
         lengths = np.frombuffer(f.read(), np.uint8)
     look = decode_table(lengths, canonical(lengths), limit)
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
     for b in batches:
-        for name, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for name, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             with filesystem.open_input_file(f"{root}/{name}") as f:
-                docs, sizes, ids = read_part(f.read(), look, limit)
-            end = np.cumsum(sizes)
-            parts = [ids[e - n : e].astype("<u4").tobytes() for e, n in zip(end, sizes)]
-            cols = [pa.array(docs, pa.int64()), pa.array(end - sizes + start), pa.array(sizes), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
-            names = ["doc_id", "start", "n_tokens", "ids_crc32"]
-            yield pa.record_batch([*cols, pa.array(parts, pa.binary())] if keep_ids else cols, [*names, "ids"] if keep_ids else names)
+                part = PartFile(f, look, limit)
+                for k, last, ids in part.groups():
+                    end = part.ends[k:last]
+                    start = np.r_[part.ends[k - 1] if k else 0, end[:-1]]
+                    data = [ids[s:e].astype("<u4").tobytes() for s, e in zip((start - start[0]).tolist(), (end - start[0]).tolist())]
+                    cols = [pa.array(part.docs[k:last], pa.int64()), pa.array(start + before), pa.array(end - start), pa.array([zlib.crc32(x) for x in data], pa.int64())]
+                    yield pa.record_batch([*cols, pa.array(data, pa.binary())] if keep_ids else cols, [*names, "ids"] if keep_ids else names)
 
 
-def write_ids(docs: DataFrame, to: str, path: str | None = None, end: int = 2, limit: int = 16, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int, int]]:
+def write_ids(docs: DataFrame, to: str, path: str | None = None, end: int = 2, limit: int = 16, id_col: str = "doc_id", text_col: str = "text", roll: int = ROLL) -> list[tuple[str, int, int]]:
     """Writes the files; returns (name, tokens, documents) of each part, in order of doc_id."""
     spark = docs.sparkSession
     ship(spark)
@@ -250,8 +300,8 @@ def write_ids(docs: DataFrame, to: str, path: str | None = None, end: int = 2, l
         f.write(lengths.tobytes())
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")]
     placed = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    done = placed.mapInArrow(functools.partial(_write, to=to, kind=kind, lengths=lengths), "part int, tokens long, docs long, name string").collect()
-    return [(r["name"].rsplit("/", 1)[1], r["tokens"], r["docs"]) for r in sorted(done, key=lambda r: r["part"])]
+    done = placed.mapInArrow(functools.partial(_write, to=to, kind=kind, lengths=lengths, roll=roll), "task int, part int, tokens long, docs long, name string").collect()
+    return [(r["name"], r["tokens"], r["docs"]) for r in sorted(done, key=lambda r: (r["task"], r["part"]))]
 
 
 def read_ids(spark, to: str, parts: list[tuple[str, int, int]], limit: int = 16, keep_ids: bool = False) -> DataFrame:

@@ -137,6 +137,23 @@ def test_files(docs, corpus, library, empty, tmp_path):
     assert huffman.huffman_round_trip(empty, f"file://{tmp_path}/none").count() == 0
 
 
+def test_parts_are_rolled_and_read_in_ranges(spark, docs, corpus, library, tmp_path):
+    to = f"file://{tmp_path}/rolled"
+    parts = huffman.write_ids(docs, to, roll=300)
+    assert len(parts) > 10 and sum(n for _, n, _ in parts) == sum(len(ids(library, t)) + 1 for _, t, *_ in corpus)
+    got = rows(huffman.read_ids(spark, to, parts, keep_ids=True), "doc_id", "ids")
+    assert got == sorted([(d, np.array(ids(library, t) + [2], "<u4").tobytes()) for d, t, *_ in corpus], key=str)
+    lengths = np.fromfile(f"{tmp_path}/rolled/code.bin", np.uint8)
+    look = huffman.decode_table(lengths, huffman.canonical(lengths), 16)
+    name = max(parts, key=lambda p: p[1])[0]
+    with huffman.open_fs(f"{to}/{name}")[0].open_input_file(f"{tmp_path}/rolled/{name}") as f:
+        part = huffman.PartFile(f, look, 16)
+        whole = part.ids(0, part.tokens)
+        for s, e in [(0, 1), (511, 513), (512, 1024), (700, part.tokens), (part.tokens - 1, part.tokens), (5, 5)]:
+            assert (part.ids(s, e) == whole[s:e]).all()
+        assert sum(len(x) for _, _, x in part.groups(1000)) == part.tokens and len(list(part.groups(1000))) > 1
+
+
 @pytest.mark.parametrize("limit", [9, 12, 16])
 @pytest.mark.parametrize("n", [0, 1, 7, 512, 513, 20_000])
 def test_code_round_trip(n, limit):
