@@ -182,6 +182,10 @@ def arithmetic(op: str, a: Node, b: Node) -> Node:
             for _ in range(b.value):
                 out = arithmetic("mul", out, now)
             out = out.column
+        elif op == "pow":
+            zero = (ar == 0) & (ai == 0)
+            found = _pair(*_zexp(_zmul((br, bi), _zlog((ar, ai)))))
+            out = F.when(zero & (br == 0) & (bi == 0), _pair(F.lit(1.0), F.lit(0.0))).when(zero & (br > 0), _pair(F.lit(0.0), F.lit(0.0))).otherwise(found)
         else:
             raise NotImplementedError(f"{op} is not supported for complex numbers")
         return _made(COMPLEX, out, op, a, b)
@@ -209,15 +213,6 @@ def _log(f: Callable[[Column], Column], low: float) -> Callable[[Column], Column
     return lambda x: F.when(x > low, f(x)).when(x == low, -_inf()).otherwise(_nan_value())
 
 
-def _polar(n: Node) -> tuple[Column, Column]:
-    return F.hypot(_re(n), _im(n)), F.atan2(_im(n), _re(n))
-
-
-def _complex_sqrt(n: Node) -> Column:
-    size, angle = _polar(n)
-    return _pair(F.sqrt(size) * F.cos(angle / 2), F.sqrt(size) * F.sin(angle / 2))
-
-
 REAL: dict[str, Callable[[Column], Column]] = {
     "sin": F.sin, "cos": F.cos, "tan": F.tan, "arcsin": F.asin, "arccos": F.acos, "arctan": F.atan,
     "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh, "arcsinh": F.asinh, "arccosh": F.acosh, "arctanh": F.atanh,
@@ -225,15 +220,98 @@ REAL: dict[str, Callable[[Column], Column]] = {
     "floor": lambda x: F.when(F.isnan(x) | (F.abs(x) == _inf()), x).otherwise(F.floor(x).cast("double")),
     "ceil": lambda x: F.when(F.isnan(x) | (F.abs(x) == _inf()), x).otherwise(F.ceil(x).cast("double")),
 }
-COMPLEXES: dict[str, Callable[[Node], Column]] = {
-    "exp": lambda n: _pair(F.exp(_re(n)) * F.cos(_im(n)), F.exp(_re(n)) * F.sin(_im(n))),
-    "log": lambda n: _pair(_log(F.ln, 0)(_polar(n)[0]), _polar(n)[1]),
-    "sqrt": _complex_sqrt,
-    "sin": lambda n: _pair(F.sin(_re(n)) * F.cosh(_im(n)), F.cos(_re(n)) * F.sinh(_im(n))),
-    "cos": lambda n: _pair(F.cos(_re(n)) * F.cosh(_im(n)), -F.sin(_re(n)) * F.sinh(_im(n))),
-    "sinh": lambda n: _pair(F.sinh(_re(n)) * F.cos(_im(n)), F.cosh(_re(n)) * F.sin(_im(n))),
-    "cosh": lambda n: _pair(F.cosh(_re(n)) * F.cos(_im(n)), F.sinh(_re(n)) * F.sin(_im(n))),
-}
+Z = tuple[Column, Column]
+
+
+def _z(n: Node) -> Z:
+    return _re(n), _im(n)
+
+
+def _zadd(a: Z, b: Z) -> Z:
+    return a[0] + b[0], a[1] + b[1]
+
+
+def _zmul(a: Z, b: Z) -> Z:
+    return a[0] * b[0] - a[1] * b[1], a[0] * b[1] + a[1] * b[0]
+
+
+def _zdiv(a: Z, b: Z) -> Z:
+    size = b[0] * b[0] + b[1] * b[1]
+    return _divide(a[0] * b[0] + a[1] * b[1], size), _divide(a[1] * b[0] - a[0] * b[1], size)
+
+
+def _zscale(a: Z, k: float) -> Z:
+    return a[0] * k, a[1] * k
+
+
+def _zexp(a: Z) -> Z:
+    return F.exp(a[0]) * F.cos(a[1]), F.exp(a[0]) * F.sin(a[1])
+
+
+def _zlog(a: Z) -> Z:
+    return _log(F.ln, 0)(F.hypot(*a)), F.atan2(a[1], a[0])
+
+
+def _zsqrt(a: Z) -> Z:
+    size, angle = F.sqrt(F.hypot(*a)), F.atan2(a[1], a[0]) / 2
+    return size * F.cos(angle), size * F.sin(angle)
+
+
+def _zsin(a: Z) -> Z:
+    return F.sin(a[0]) * F.cosh(a[1]), F.cos(a[0]) * F.sinh(a[1])
+
+
+def _zcos(a: Z) -> Z:
+    return F.cos(a[0]) * F.cosh(a[1]), -F.sin(a[0]) * F.sinh(a[1])
+
+
+def _zsinh(a: Z) -> Z:
+    return F.sinh(a[0]) * F.cos(a[1]), F.cosh(a[0]) * F.sin(a[1])
+
+
+def _zcosh(a: Z) -> Z:
+    return F.cosh(a[0]) * F.cos(a[1]), F.sinh(a[0]) * F.sin(a[1])
+
+
+def _one(k: float = 1.0) -> Z:
+    return F.lit(k), F.lit(0.0)
+
+
+def _turn(a: Z, k: int) -> Z:
+    """Times i, k times."""
+    for _ in range(k % 4):
+        a = -a[1], a[0]
+    return a
+
+
+def _zarcsinh(a: Z) -> Z:
+    return _zlog(_zadd(a, _zsqrt(_zadd(_zmul(a, a), _one()))))
+
+
+def _zarcsin(a: Z) -> Z:
+    return _turn(_zarcsinh(_turn(a, 1)), 3)
+
+
+def _zarccos(a: Z) -> Z:
+    return _zadd(_one(math.pi / 2), _zscale(_zarcsin(a), -1.0))
+
+
+def _zarccosh(a: Z) -> Z:
+    return _zlog(_zadd(a, _zmul(_zsqrt(_zadd(a, _one())), _zsqrt(_zadd(a, _one(-1.0))))))
+
+
+def _zarctanh(a: Z) -> Z:
+    return _zscale(_zadd(_zlog(_zadd(_one(), a)), _zscale(_zlog(_zadd(_one(), _zscale(a, -1.0))), -1.0)), 0.5)
+
+
+_OF_COMPLEX: dict[str, Callable[[Z], Z]] = {
+    "exp": _zexp, "log": _zlog, "sqrt": _zsqrt, "sin": _zsin, "cos": _zcos, "sinh": _zsinh, "cosh": _zcosh,
+    "tan": lambda a: _zdiv(_zsin(a), _zcos(a)), "tanh": lambda a: _zdiv(_zsinh(a), _zcosh(a)),
+    "arcsin": _zarcsin, "arccos": _zarccos, "arctan": lambda a: _turn(_zarctanh(_turn(a, 1)), 3),
+    "arcsinh": _zarcsinh, "arccosh": _zarccosh, "arctanh": _zarctanh,
+    "log10": lambda a: _zscale(_zlog(a), 1 / math.log(10)), "log1p": lambda a: _zlog(_zadd(_one(), a)), "expm1": lambda a: _zadd(_zexp(a), _one(-1.0)),
+}
+COMPLEXES: dict[str, Callable[[Node], Column]] = {name: (lambda f: lambda n: _pair(*f(_z(n))))(f) for name, f in _OF_COMPLEX.items()}
 OTHER = {"where": 3, "arctan2": 2, "fmod": 2, "abs": 1, "real": 1, "imag": 1, "conj": 1, "complex": 2, "ones_like": 1}
 FUNCTIONS = frozenset(REAL) | frozenset(OTHER)
 

@@ -214,8 +214,8 @@ class RaggedArray:
     @classmethod
     def grouped(cls, df: DataFrame, key: str, value: str, order: str) -> DataFrame:
         """(key, item): each key's values in order, as one ragged row."""
-        pairs = F.array_sort(F.collect_list(F.struct(order, value)))
-        return df.groupBy(key).agg(pairs.alias("p")).select(key, F.transform("p", lambda x: x[value]).alias("item"))
+        pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
+        return df.groupBy(key).agg(pairs.alias("p")).select(key, F.transform("p", lambda x: x["v"]).alias("item"))
 
     @property
     def nrows(self) -> int:

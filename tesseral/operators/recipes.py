@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .rows import NROW
@@ -46,3 +46,36 @@ def row_norms(df: DataFrame, index: str, block: str) -> DataFrame:
     """Euclidean norm of each row's array, without exploding it."""
     total = F.aggregate(block, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     return df.select(index, F.sqrt(total).alias("norm"))
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """Adds rank (r), running sum (running) and the value before (before), within keys in this order."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys).orderBy(*order)
+    total = F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return df.withColumns({"r": F.rank().over(w).cast("long"), "running": total, "before": F.lag(value).over(w)})
+
+
+def set_operation(name: str, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct rows of both (union), of left that right has too (intersect), or has not (except)."""
+    if name == "union":
+        return left.unionByName(right).distinct()
+    return {"intersect": left.intersect, "except": left.subtract}[name](right.select(*left.columns))
+
+
+def range_join(left: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
+    """Rows of left with each range [low, high) that holds their value; an equi-join on cells of this width, so no cross join.
+
+    A range is copied to each cell that it touches; a value meets it in its own cell only. Choose the width near that of common
+    ranges. Empty and null ranges hold nothing.
+    """
+    cell = lambda c: F.floor(F.col(c) / width)
+    some = ranges.where(F.col(low) < F.col(high))
+    cut = some.withColumn("__cell", F.explode(F.sequence(cell(low), cell(high))))
+    return left.withColumn("__cell", cell(value)).join(cut, "__cell").where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("__cell")
+
+
+def sql(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
+    """SQL text over frames named in braces."""
+    return spark.sql(text, **frames)

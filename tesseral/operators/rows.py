@@ -18,18 +18,36 @@ NROW = "nrow"
 RANGE = 1 << 16
 
 
-def read_numbered(spark: SparkSession, path: str) -> DataFrame:
+#: Coordinates given as a list are sent to all tasks up to this many; larger lists are joined by shuffling.
+FEW = 1_000_000
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder that all executors share, from spark.checkpoint.dir; a local session without one gets a temporary folder."""
+    import tempfile
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def read_numbered(spark: SparkSession, path: str, name: str = NROW) -> DataFrame:
     """The rows of a Parquet file or folder, with their numbers."""
     df = spark.read.parquet(path)
     files = df.inputFiles()
     if len(files) <= 1:
-        return df.select("*", F.col("_metadata.row_index").alias(NROW))
+        return df.select("*", F.col("_metadata.row_index").alias(name))
     # Row counts per file come from footers alone; the table has one row per file
     counts = df.groupBy(F.col("_metadata.file_path").alias("__file")).agg(F.count("*").alias("__n"))
     before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__at"))
     rows = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__i"))
-    return rows.join(offsets, "__file").select(*df.columns, (F.col("__i") + F.col("__at")).cast("long").alias(NROW))
+    return rows.join(offsets, "__file").select(*df.columns, (F.col("__i") + F.col("__at")).cast("long").alias(name))
 
 
 def slice_of(start: Any, stop: Any, step: Any, n: int, reverse: bool = True) -> tuple[int, int, int]:
@@ -78,8 +96,10 @@ def coordinates(seq: Iterable[Any], n: int) -> list[int]:
 def gather(df: DataFrame, coords: list[int] | DataFrame) -> DataFrame:
     """Rows at coordinates, with their place in ``pos``; coords may be a DataFrame (pos, nrow) of any size."""
     if not isinstance(coords, DataFrame):
-        # a list from the caller: as large as what the driver already holds
+        # a list from the caller: the table stays where it is, and the list travels
+        few = len(coords) <= FEW
         coords = df.sparkSession.createDataFrame(list(enumerate(coords)), f"pos long, {NROW} long")
+        coords = F.broadcast(coords) if few else coords
     return coords.join(df, NROW)
 
 
@@ -105,18 +125,27 @@ def pieces_for(n: int) -> int:
     return max(16, min(1024, n // 500_000))
 
 
+def _cuts(df: DataFrame, first: str, pieces: int) -> list[Any]:
+    """At most ``pieces`` values that cut a column into ranges: approximate quantiles, or those of a sample bounded by pieces."""
+    kind = dict(df.dtypes)[first]
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz") or kind.startswith("decimal"):
+        return sorted(set(df.agg(F.percentile_approx(first, [k / pieces for k in range(1, pieces)], 4 * pieces)).first()[0] or []))
+    if kind not in ("string", "binary", "boolean"):
+        return []
+    every = max(1, df.count() // (100 * pieces))
+    some = df.where(F.col(first).isNotNull() & (F.pmod(F.xxhash64(NROW), F.lit(every)) == 0)).select(F.col(first).alias("v"))
+    tiles = some.withColumn("t", F.ntile(pieces).over(Window.orderBy("v"))).groupBy("t").agg(F.min("v").alias("v"))
+    return [r["v"] for r in tiles.select("v").distinct().orderBy("v").collect()]
+
+
 def positions(df: DataFrame, keys: list[str], out: str = "pos", pieces: int = 32) -> DataFrame:
     """Adds each row's place in the order of keys, then nrow.
 
     Approximate quantiles of the first key cut the rows into ranges; a row's place is its number within
-    its range plus the sizes of the ranges before. A value that is a range of its own is split by nrow.
+    its range plus the sizes of the ranges before. A value that is a range of its own is split by nrow. Nulls come first.
     """
     first = keys[0]
-    numeric = dict(df.dtypes)[first] in ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz") or dict(df.dtypes)[first].startswith("decimal")
-    cuts = []
-    if numeric:
-        got = df.agg(F.percentile_approx(first, [k / pieces for k in range(1, pieces)], 4 * pieces)).first()[0]
-        cuts = sorted(set(got or []))
+    cuts = _cuts(df, first, pieces)
     if cuts:
         # ranges alternate: strictly between two cuts, and equal to one; found by bisection, in generated code
         def search(lo: int, hi: int) -> Column:
@@ -126,10 +155,10 @@ def positions(df: DataFrame, keys: list[str], out: str = "pos", pieces: int = 32
             cut = F.lit(cuts[mid])
             return F.when(F.col(first) < cut, search(lo, mid)).when(F.col(first) == cut, F.lit(2 * mid + 1)).otherwise(search(mid + 1, hi))
 
-        part = search(0, len(cuts))
+        part = F.when(F.col(first).isNull(), F.lit(-1)).otherwise(search(0, len(cuts)))
     else:
-        part = F.lit(0)
-    rows = df.withColumn("__p", part).withColumn("__q", F.when(F.col("__p") % 2 == 1, F.expr(f"{NROW} div {RANGE}")).otherwise(0) if len(keys) == 1 else F.lit(0))
+        part = F.when(F.col(first).isNull(), F.lit(-1)).otherwise(F.lit(0))
+    rows = df.withColumn("__p", part).withColumn("__q", F.when(F.pmod("__p", F.lit(2)) == 1, F.expr(f"{NROW} div {RANGE}")).otherwise(0) if len(keys) == 1 else F.lit(0))
     counts = rows.groupBy("__p", "__q").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__p", "__q").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__p", "__q", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__at"))

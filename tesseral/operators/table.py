@@ -19,7 +19,7 @@ from ..functions.condition import Node, column_node, compile_condition, resolver
 from ..plans.index_plan import IndexPlan, index_plan
 from ..types import Col, Description
 from .index import Index, IndexInfo, check_indexable
-from .rows import NROW, coordinates, gather, in_slice, pieces_for, positions, query_slice, read_numbered, removed_before, slice_of
+from .rows import FEW, NROW, coordinates, gather, in_slice, query_slice, read_numbered, removed_before, slice_of
 
 
 def quoted(path: str) -> Column:
@@ -97,7 +97,7 @@ class ColumnHandle:
     @property
     def index(self) -> Index | None:
         info = self.table.indexes.get(self.path)
-        return None if info is None else Index(self.table.df, self.path, info, self.table.nrows)
+        return None if info is None else Index(self.table._flushed(), self.path, info, self.table.nrows, self.table.orders)
 
     def create_index(self, optlevel: int = 6, kind: str = "medium") -> int:
         from .index import KINDS
@@ -117,6 +117,7 @@ class ColumnHandle:
 
     def remove_index(self) -> None:
         self.table.indexes.pop(self.path, None)
+        self.table.orders.pop(self.path, None)
 
     def reindex(self) -> None:
         if self.is_indexed:
@@ -169,6 +170,19 @@ class RowAppender:
         self._now = {}
 
 
+class _RowSet:
+    """Row numbers, combined as the planner's text says."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+
+    def __and__(self, other: _RowSet) -> _RowSet:
+        return _RowSet(self.df.join(other.df, NROW, "left_semi"))
+
+    def __or__(self, other: _RowSet) -> _RowSet:
+        return _RowSet(self.df.unionByName(other.df).distinct())
+
+
 class Table:
     """A DataFrame with the column ``nrow`` numbering its rows from 0 without gaps."""
 
@@ -177,6 +191,7 @@ class Table:
         self.schema = T.StructType([f for f in df.schema.fields if f.name != NROW])
         self._description, self._nrows, self.store, self.path = description, nrows, store, path
         self.indexes: dict[str, IndexInfo] = {}
+        self.orders: dict[str, str] = {}
         self.column_attrs: dict[str, dict[str, Any]] = {}
         self.pending: list[dict[str, Any]] = []
         self.autoindex = True
@@ -379,6 +394,26 @@ class Table:
     def will_query_use_indexing(self, condition: str, condvars: Mapping[str, Any] | None = None) -> frozenset[str]:
         return self.index_plan(condition, condvars, 3).columns
 
+    def where_indexed(self, condition: str, condvars: Mapping[str, Any] | None = None) -> DataFrame:
+        """The rows of where(), found through the indexes that the condition can use, and tested again in full.
+
+        Sidecars give the row numbers of each indexed comparison; "and" and "or" combine them, and only these rows meet the rest of
+        the condition. Without a usable index it is where().
+        """
+        node = self.compile(condition, condvars)
+        plan = index_plan(node, [p for p, i in self.indexes.items() if not i.dirty])
+        df = self._flushed()
+        if not plan.exprs:
+            return df.where(node.column)
+        found = [ColumnHandle(self, name).index.search(ops, limits) for name, ops, limits in plan.exprs]
+        rows = eval(plan.skeleton, {"__builtins__": {}}, {f"e{k}": _RowSet(f) for k, f in enumerate(found)}).df  # noqa: S307 - a text of e0, &, | and brackets, made by index_plan
+        rows = rows.cache()
+        try:
+            few = rows.count() <= FEW
+        finally:
+            rows.unpersist()
+        return df.join(F.broadcast(rows) if few else rows, NROW, "left_semi").where(node.column)
+
     # sorted reading
 
     def _sort_key(self, sortby: str | ColumnHandle, check_csi: bool) -> str:
@@ -398,19 +433,20 @@ class Table:
         df = self._flushed()
         key = quoted(sortby)
         r = range(*s)
-        if len(r) and max(r) < 10_000:  # a top of the order: no full sort
+        index = Index(df, sortby, self.indexes[sortby], n, self.orders)
+        if not index.is_stored and len(r) and max(r) < 10_000:  # a top of the order: no full sort
             top = df.orderBy(key, NROW).limit(max(r) + 1)
             from pyspark.sql import Window
 
             out = top.withColumn("pos", (F.row_number().over(Window.orderBy(key, NROW)) - 1).cast("long"))
-        elif len(r) and min(r) >= n - 10_000:
+        elif not index.is_stored and len(r) and min(r) >= n - 10_000:
             from pyspark.sql import Window
 
             end = df.orderBy(key.desc(), F.col(NROW).desc()).limit(n - min(r))
             out = end.withColumn("pos", (n - F.row_number().over(Window.orderBy(key.desc(), F.col(NROW).desc()))).cast("long"))
         else:
-            keyed = df.withColumn("__key", key)
-            out = positions(keyed, ["__key"], pieces=pieces_for(n)).drop("__key")
+            places = index.sidecar().where(in_slice(*s, at="pos")).select(NROW, "pos")
+            out = df.join(F.broadcast(places) if len(r) <= FEW else places, NROW).select(*df.columns, "pos")
         return out.where(in_slice(*s, at="pos"))
 
     def read_sorted(self, sortby: str | ColumnHandle, checkCSI: bool = False, field: str | None = None, start=None, stop=None, step=None) -> DataFrame:
@@ -444,6 +480,7 @@ class Table:
 
     def _set(self, df: DataFrame, nrows: int | None) -> None:
         self.df, self._nrows = df, nrows
+        self.orders = {}
         for i in self.indexes.values():
             i.dirty = not self.autoindex
 

@@ -378,7 +378,8 @@ def contains_value(spark, sf):
     return t.mask(t.contains(7)).select("l_orderkey", "l_linenumber")
 
 
-@query(None)
+@query("""select * from (values ('l_linenumber > 3', 'e0', 'l_linenumber gt 3'), ('(l_linenumber > 3) & (l_linenumber < 5)', 'e0', 'l_linenumber gt lt 3 5'), ('~(l_quantity <= 7) & (l_tax > 0)', 'e0', 'l_quantity gt 7'),
+('(l_quantity == 3) | ((l_quantity == 4) & (l_linenumber == 5))', '((e0 & e1) | e2)', 'l_quantity eq 4, l_linenumber eq 5, l_quantity eq 3'), ('(l_quantity + 1) > 3', '', '')) t(condition, skeleton, exprs)""")
 def index_plan(spark, sf):
     """The planner's answers, for each of some conditions over a table with two indexes."""
     t = table(spark, sf, "lineitem")
@@ -390,14 +391,12 @@ def index_plan(spark, sf):
 
 
 def _demo_store(spark, sf):
-    import os
-    import tempfile
     import uuid
 
+    from ..operators.rows import scratch
     from ..sources.catalog import open_store
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    at = os.path.join(shared.removeprefix("file://"), f"store-{uuid.uuid4().hex}") if shared else tempfile.mkdtemp() + "/store"
+    at = scratch(spark).removeprefix("file://") + f"/store-{uuid.uuid4().hex}"
     s = open_store(spark, at, "w")
     s.create_group("/", "geo", "places")
     for n in ("nation", "region"):
@@ -406,7 +405,7 @@ def _demo_store(spark, sf):
     return s
 
 
-@query(None)
+@query("select * from (values ('/', 'group'), ('/geo', 'group'), ('/lands', 'soft'), ('/geo/nation', 'table'), ('/geo/region', 'table')) t(path, kind)")
 def walk_nodes(spark, sf):
     return spark.createDataFrame([(n.path, n.kind) for n in _demo_store(spark, sf).walk_nodes("/")], "path string, kind string")
 
@@ -420,7 +419,7 @@ def tree_sizes(spark, sf):
     return spark.createDataFrame(tree(_demo_store(spark, sf), "/", io.StringIO()), "path string, kind string, bytes long, percent double")
 
 
-@query(None)
+@query("select * from (values (0, 'move', '/ /geo /lands /parts /geo/nation'), (1, 'remove', '/ /geo /parts /geo/nation'), (2, 'undo', '/ /geo /lands /geo/nation /geo/region'), (3, 'redo', '/ /geo /parts /geo/nation')) t(step, what, nodes)")
 def undo_redo_trace(spark, sf):
     s, rows = _demo_store(spark, sf), []
     look = lambda step: rows.append((len(rows), step, " ".join(n.path for n in s.walk_nodes("/"))))
@@ -437,7 +436,7 @@ def undo_redo_trace(spark, sf):
     return spark.createDataFrame(rows, "step int, what string, nodes string")
 
 
-@query(None)
+@query("select n::integer as written, n::integer as read, true as same from (select sum(strlen(n_name)) + count(*) - 1 as n from nation)")
 def filenode_roundtrip(spark, sf):
     from ..sources.filenode import new_node, open_node
 
@@ -455,3 +454,6 @@ def chained_selection(spark, sf):
     """A native condition over rows of an odd number: both reach the scan as one filter."""
     t = table(spark, sf, "orders")
     return Table(t.rows().where(in_slice(1, t.nrows, 2))).where("o_totalprice < 20000").select("o_orderkey", NROW)
+
+
+from . import methods  # noqa: E402, F401 - adds its queries

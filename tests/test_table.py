@@ -170,3 +170,54 @@ def test_multi_file_numbers(spark, tmp_path):
         spark.range(k * 10, k * 10 + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "d"))
     t = Table.from_parquet(spark, str(tmp_path / "d"))
     assert sorted(r["nrow"] for r in t.df.collect()) == list(range(30)) and t.nrows == 30
+
+
+@pytest.mark.parametrize("kind", ["string", "double", "boolean"])
+def test_positions_of_any_kind_with_nulls_first(spark, kind):
+    import random
+
+    from tesseral.operators.rows import positions
+
+    r = random.Random(3)
+    make = {"string": lambda: r.choice(["a", "b", "zz", "é", ""]), "double": lambda: r.choice([1.5, -2.0, 9.0]), "boolean": lambda: r.random() < 0.5}[kind]
+    data = [(None if r.random() < 0.1 else make(), k) for k in range(400)]
+    df = positions(spark.createDataFrame(data, f"x {kind}, nrow long"), ["x"], pieces=4)
+    got = [(x, n) for x, n, _ in sorted(df.collect(), key=lambda t: t["pos"])]
+    assert got == sorted(data, key=lambda t: (t[0] is not None, t[0] if t[0] is not None else 0, t[1]) if kind != "string" else (t[0] is not None, (t[0] or "").encode(), t[1]))
+
+
+def test_index_is_written_once_and_searched(spark):
+    t = Table(spark.createDataFrame([(float(k * 7 % 100) if k % 10 else (None if k % 20 else float("nan")), k) for k in range(200)], "x double, nrow long"))
+    t.cols.x.create_csindex()
+    index = t.cols.x.index
+    assert not index.is_stored
+    got = sorted(r[0] for r in index.search(("ge", "lt"), (10.0, 40.0)).collect())
+    rows = {r["nrow"]: r["x"] for r in t.df.collect()}
+    want = sorted(n for n, x in rows.items() if x is not None and 10 <= x < 40)
+    assert got == want and t.cols.x.index.is_stored
+    low, high = index.lookup_range(("ge", "lt"), (10.0, 40.0))
+    assert high - low == len(want) and sorted(r["nrow"] for r in index.read_indices(low, high).collect()) == want
+    first = index.read_sorted(0, 12).orderBy("pos").collect()
+    assert [r["value"] for r in first[:10]] == [None] * 10
+    assert sorted(r["nrow"] for r in t.where_indexed("(x >= 10) & (x < 40)").collect()) == want
+    assert sorted(r["nrow"] for r in t.where_indexed("x > 90").collect()) == sorted(n for n, x in rows.items() if x is not None and x > 90)
+    stored = dict(t.orders)
+    t.cols.x.index.read_indices().count()
+    assert t.orders == stored
+    t.modify_column(0, 1, 1, 55.0, "x")
+    assert not t.cols.x.index.is_stored and t.where_indexed("x == 55").count() == sum(x == 55 for n, x in rows.items() if n) + 1
+
+
+def test_coordinates_travel_to_the_table(spark):
+    t = Table(spark.range(1000).withColumnRenamed("id", "nrow").withColumn("x", F.col("nrow") * 2))
+    plan = t.read_coordinates([5, 5, 1])._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" in plan
+
+
+def test_range_join(spark):
+    from tesseral.operators.recipes import range_join
+
+    left = spark.createDataFrame([(k, k / 3) for k in range(-30, 60)] + [(None, None)], "k int, v double")
+    ranges = [("a", -5.0, 2.5), ("b", 2.5, 2.5), ("c", 0.0, 19.0), ("d", None, 3.0), ("e", 5.0, 1.0)]
+    got = sorted((r["k"], r["n"]) for r in range_join(left, spark.createDataFrame(ranges, "n string, low double, high double"), "v", "low", "high", 4.0).collect())
+    assert got == sorted((k, n) for k in range(-30, 60) for n, a, b in ranges if a is not None and a <= k / 3 < b)
