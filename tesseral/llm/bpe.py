@@ -186,7 +186,7 @@ def _cut(text: str) -> tuple[str, list[str]]:
 class PackedEncoder:
     """Texts to packed ids (unsigned, little-endian, 32 or 16 bits)."""
 
-    def __init__(self, path: str, kind: str = "<u4"):
+    def __init__(self, path: str, kind: str = "<u4", cap: int = MEMO_WORDS):
         self.vocabulary = v = Vocabulary(path)
         code, swap = {"<u4": "I", "<u2": "H"}[kind], sys.byteorder == "big"
 
@@ -196,7 +196,7 @@ class PackedEncoder:
                 a.byteswap()
             return a.tobytes()
 
-        self.later, self.first = word_memos(lambda w: pack(v.single(w.encode())), lambda w: pack(v.word_ids(w)))
+        self.later, self.first = word_memos(lambda w: pack(v.single(w.encode())), lambda w: pack(v.word_ids(w)), cap)
         self.marks = {s: pack([i]) for s, i in v.special.items()}
 
     def encode(self, text: str) -> bytes:
@@ -214,8 +214,8 @@ class PackedEncoder:
 
 
 @functools.lru_cache(2)
-def packed_encoder(path: str, kind: str = "<u4") -> PackedEncoder:
-    return PackedEncoder(path, kind)
+def packed_encoder(path: str, kind: str = "<u4", cap: int = MEMO_WORDS) -> PackedEncoder:
+    return PackedEncoder(path, kind, cap)
 
 
 @functools.lru_cache(2)

@@ -27,14 +27,15 @@ from .runtime import checkpoint, enter, ship, trim
 
 #: Pieces that are ranked together: some MB, without and with their ids.
 PER_BUCKET, PER_BUCKET_WITH_IDS = 50_000, 2_000
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end: int, capacity: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
     enter("tokens")
-    enc = bpe.packed_encoder(path)
+    # ids go on through Spark, whose buffers then take the memory that the memo of words would
+    enc = bpe.packed_encoder(path, cap=bpe.MEMO_WORDS // 2 if keep_ids else bpe.MEMO_WORDS)
     mark = np.array([end], "<u4").tobytes()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
@@ -138,6 +139,7 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
 
 
 def _place(batches: Iterator[pa.RecordBatch], slots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    enter("places")
     key = slots[:, 0] << 44 | slots[:, 1]
     for b in batches:
         length, rank = b.column(3).to_numpy(), b.column(b.num_columns - 1).to_numpy()
