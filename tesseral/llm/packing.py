@@ -25,8 +25,7 @@ from pyspark.sql import functions as F
 from . import bpe
 from .runtime import checkpoint, enter, ship, trim
 
-#: Pieces that are ranked together: some MB, without and with their ids.
-PER_BUCKET, PER_BUCKET_WITH_IDS = 50_000, 2_000
+PER_BUCKET = 50_000
 BATCH_BYTES = 2 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -152,23 +151,27 @@ def _place(batches: Iterator[pa.RecordBatch], slots: np.ndarray) -> Iterator[pa.
 def pack(parts: DataFrame, capacity: int = 2048) -> DataFrame:
     """Places rows of pieces(): adds sequence_id and offset."""
     ship(parts.sparkSession)
-    parts = checkpoint(parts)
-    spark = parts.sparkSession
-    counts = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}
+    columns, spark = parts.columns, parts.sparkSession
+    heavy = "ids" in columns  # rows then get a number, are ranked without their ids, and meet their places by it
+    parts = checkpoint(parts.withColumn("__llm_id", F.monotonically_increasing_id()) if heavy else parts)
+    light = parts.drop("ids")
+    counts = {r[0]: r[1] for r in light.groupBy("length").count().collect()}
     slots, _ = plan(counts, capacity)
     if not counts:
-        return parts.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
-    per = PER_BUCKET_WITH_IDS if "ids" in parts.columns else PER_BUCKET
-    n_of = spark.createDataFrame([(n, -(-c // per)) for n, c in counts.items()], "length long, __llm_n long")
-    rows = parts.join(F.broadcast(n_of), "length").withColumn("__llm_b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "__llm_n"))
+        return parts.select(*columns, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    n_of = spark.createDataFrame([(n, -(-c // PER_BUCKET)) for n, c in counts.items()], "length long, __llm_n long")
+    rows = light.join(F.broadcast(n_of), "length").withColumn("__llm_b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "__llm_n"))
     tally = rows.groupBy("length", "__llm_b").agg(F.count("*").alias("__llm_c"))
     before = Window.partitionBy("length").orderBy("__llm_b").rowsBetween(Window.unboundedPreceding, -1)
     tally = tally.select("length", "__llm_b", F.coalesce(F.sum("__llm_c").over(before), F.lit(0)).alias("__llm_o"))
     inside = Window.partitionBy("length", "__llm_b").orderBy("doc_id", "piece", "ids_crc32")
     ranked = rows.withColumn("__llm_r", F.row_number().over(inside)).join(tally, ["length", "__llm_b"])
-    ranked = ranked.select(*parts.columns, (F.col("__llm_r") - 1 + F.col("__llm_o")).cast("long").alias("__llm_rank"))
-    schema = ", ".join(f"{c} {t}" for c, t in parts.dtypes) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(functools.partial(_place, slots=slots), schema)
+    ranked = ranked.select(*light.columns, (F.col("__llm_r") - 1 + F.col("__llm_o")).cast("long").alias("__llm_rank"))
+    schema = ", ".join(f"{c} {t}" for c, t in light.dtypes) + ", sequence_id long, offset long"
+    placed = ranked.mapInArrow(functools.partial(_place, slots=slots), schema)
+    if not heavy:
+        return placed
+    return parts.join(placed.select("__llm_id", "sequence_id", "offset"), "__llm_id").select(*columns, "sequence_id", "offset")
 
 
 def best_fit_pack(docs: DataFrame, path: str | None = None, end: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
