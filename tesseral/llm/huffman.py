@@ -127,7 +127,7 @@ def open_fs(url: str) -> tuple[fs.FileSystem, str]:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
-    enc = bpe.packed_encoder(path, "<u2" if bpe.vocabulary(path).size <= 1 << 16 else "<u4")
+    enc = bpe.packed_encoder(path, enc_kind(path), bpe.MEMO_MORE)
     mark = np.array([end], enc_kind(path)).tobytes()
     for b in batches:
         yield pa.record_batch([b.column(0), pa.array([enc.encode(x.as_py() or "") + mark for x in b.column(1)], pa.binary())], ["doc_id", "ids"])

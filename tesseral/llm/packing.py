@@ -34,7 +34,7 @@ PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end: int, capacity: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
     enter("tokens")
     # ids go on through Spark, whose buffers then take the memory that the memo of words would
-    enc = bpe.packed_encoder(path, cap=bpe.MEMO_WORDS // 2 if keep_ids else bpe.MEMO_WORDS)
+    enc = bpe.packed_encoder(path, cap=bpe.MEMO_WORDS // 2 if keep_ids else bpe.MEMO_MORE)
     mark = np.array([end], "<u4").tobytes()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
