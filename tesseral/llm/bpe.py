@@ -21,8 +21,6 @@ from .runtime import FORGET
 
 GPT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MEMO_WORDS = 120_000
-#: Where ids leave the worker at once or as digests, there is room for more of them.
-MEMO_MORE = 250_000
 MEMO_CHARS = 64
 SEGMENT = 1 << 20
 PLAIN_END = "\u0250"  # letters below are letters in every version of Unicode
