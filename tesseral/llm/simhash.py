@@ -23,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -204,6 +204,12 @@ ROWS = 200_000
 FEW = 200_000
 #: Sets that one group of the verification holds at once.
 HELD = 256
+#: A token in more prefixes than this makes a crowd: its pairs are not listed, its sets are compared in tiles.
+CROWD = 128
+#: What one part of a crowd holds: sets at most, and members of sets (the last set may exceed it). A tile is two parts.
+PART_SETS, PART_MEMBERS = 1024, 1 << 19
+#: Members that more than one pair of sets in so many shares are counted by multiplying matrices, DENSE of them at once; others pair by pair, LISTED at once.
+RARE, DENSE, LISTED = 200, 2048, 1 << 21
 
 
 def bits_apart(similarity: float, deviations: float = 8) -> int:
@@ -322,6 +328,12 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(places)), pa.array(np.repeat(b.column(0).to_numpy(), counts))], ["token", "place", "key"])
 
 
+def _once(pairs: np.ndarray) -> np.ndarray:
+    """The distinct columns of (2, n), sorted."""
+    pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
+    return pairs[:, np.r_[True, (pairs[:, 1:] != pairs[:, :-1]).any(0)][: pairs.shape[1]]]
+
+
 def sharing(token: np.ndarray, place: np.ndarray, key: np.ndarray, similarity: float) -> np.ndarray:
     """Pairs of keys (2, n) that share a token and whose sizes and places leave room for the similarity; rows sorted by token and place."""
     size, rest = place >> 32, (place >> 32) - (place & 0xFFFFFFFF)
@@ -337,22 +349,31 @@ def sharing(token: np.ndarray, place: np.ndarray, key: np.ndarray, similarity: f
         a, b = key[active[room]], key[other[room]]
         out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
         held += len(a)
-        if held > 1 << 20:
-            out = [np.unique(np.concatenate(out, axis=1), axis=1)]
+        if held > max(1 << 20, out[0].shape[1]):
+            out = [_once(np.concatenate(out, axis=1))]
             held = 0
         step += 1
-    return np.unique(np.concatenate(out, axis=1), axis=1)
+    return _once(np.concatenate(out, axis=1))
+
+
+MET = "a long, b long, token long, n int"
 
 
-def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+def _similar(batches: Iterator[pa.RecordBatch], similarity: float, crowd: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) with n = 0; of tokens in more than ``crowd`` prefixes (n) a row for each set instead: its key and its size."""
     held, size = [], 0
 
     def joined():
         return [np.concatenate(x) for x in zip(*held)]
 
     def found(rows):
-        a, b = sharing(*rows, similarity)
-        return pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+        token, place, key = rows
+        n = np.diff(np.r_[np.flatnonzero(np.r_[True, token[1:] != token[:-1]]), len(token)]).astype(np.int32)
+        n = np.repeat(n, n)
+        many = n > (len(n) if crowd is None else crowd)
+        a, b = sharing(token[~many], place[~many], key[~many], similarity)
+        columns = [np.r_[a, key[many]], np.r_[b, place[many] >> 32], np.r_[np.zeros_like(a), token[many]], np.r_[np.zeros(len(a), np.int32), n[many]]]
+        return pa.record_batch([pa.array(c) for c in columns], ["a", "b", "token", "n"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -382,9 +403,104 @@ def candidates(each: DataFrame, similarity: float = SIMILAR) -> DataFrame:
 
 def meeting(each: DataFrame, similarity: float = SIMILAR) -> DataFrame:
     """(a, b): pairs of ``key`` whose ``prefix`` share a member, at places that leave room for the similarity."""
+    return _met(each, similarity, None).select("a", "b").distinct()
+
+
+def _met(each: DataFrame, similarity: float, crowd: int | None) -> DataFrame:
     rows = each.select("key", "size", "prefix").mapInArrow(_tokens, "token long, place long, key long")
     rows = rows.repartition(partitions(each.sparkSession), "token").sortWithinPartitions("token", "place")
-    return rows.mapInArrow(functools.partial(_similar, similarity=similarity), "a long, b long").distinct()
+    return rows.mapInArrow(functools.partial(_similar, similarity=similarity, crowd=crowd), MET)
+
+
+def tiles(members: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+    """Rows for _verify, of (key, size, token, n): all sets that share a token meet in a tile, unless their sizes are too far apart.
+
+    Each set belongs to its most frequent token, whose sets are cut into parts by size. Two parts make a tile
+    where some token has sets in both; a tile's name is a hash, and two of one name would be one larger tile.
+    """
+    home = members.groupBy("key").agg(F.max(F.struct("n", "token")).getField("token").alias("home"), F.first("size").alias("size"))
+    before = Window.partitionBy("home").orderBy("size", "key").rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.coalesce(F.sum(F.greatest(F.col("size"), F.lit(PART_MEMBERS // PART_SETS))).over(before), F.lit(0))
+    parts = checkpoint(home.select("key", F.struct("home", F.floor(taken / PART_MEMBERS).alias("k")).alias("part")))
+    at = checkpoint(members.join(parts, "key").groupBy("token", "part").agg(F.min("size").alias("lo"), F.max("size").alias("hi")))
+    one, other = (at.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("part", "lo", "hi")]) for k in (1, 2))
+    fit = (F.col("hi1") >= similarity * F.col("lo2") - 1e-6) & (F.col("hi2") >= similarity * F.col("lo1") - 1e-6)
+    both = checkpoint(one.join(other, "token").where((F.col("part1") <= F.col("part2")) & fit).select("part1", "part2").distinct())
+    sides = both.withColumn("role", F.lit(0)).withColumn("part", F.col("part1"))
+    sides = sides.unionByName(both.where("part1 <> part2").withColumn("role", F.lit(1)).withColumn("part", F.col("part2")))
+    return sides.join(parts, "part").select(F.xxhash64("part1", "part2").alias("m"), F.lit(-1).alias("s"), "role", "key", F.lit(None).cast("array<long>").alias("others"))
+
+
+def in_common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """(len(x), len(y)): the number of members that each set of x has in common with each of y."""
+    shape = len(x), len(y)
+    of_x, of_y = (np.repeat(np.arange(len(z)), [len(h) for h in z]) for z in (x, y))
+    names, at = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    at_x, at_y = at[: len(of_x)], at[len(of_x) :]
+    in_x, in_y = (np.bincount(a, minlength=len(names)) for a in (at_x, at_y))
+    dense, out = in_x * in_y * RARE > len(x) * len(y), np.zeros(shape, np.int32)
+    often = np.flatnonzero(dense)
+    for s in range(0, len(often), DENSE):
+        some = often[s : s + DENSE]
+        column, held = np.full(len(names), -1), []
+        column[some] = np.arange(len(some))
+        for a, of, n in ((at_x, of_x, len(x)), (at_y, of_y, len(y))):
+            ok = column[a] >= 0
+            held.append(np.zeros((n, len(some)), np.float32))
+            held[-1][of[ok], column[a[ok]]] = 1
+        out += (held[0] @ held[1].T).astype(np.int32)
+    ok = ~dense[at_x] & (in_y[at_x] > 0)
+    at_x, of_x, of_y = at_x[ok], of_x[ok], of_y[np.argsort(at_y, kind="stable")]
+    first, times, s = np.cumsum(in_y) - in_y, in_y[at_x], 0
+    done = np.cumsum(times)
+    while s < len(at_x):
+        e = max(s + 1, int(np.searchsorted(done, (done[s - 1] if s else 0) + LISTED, "right")))
+        n = times[s:e]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        flat = np.repeat(of_x[s:e], n) * shape[1] + of_y[np.repeat(first[at_x[s:e]], n) + step]
+        out += np.bincount(flat, minlength=shape[0] * shape[1]).reshape(shape).astype(np.int32)
+        s = e
+    return out
+
+
+def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of true cells, as few as join all rows and columns that the true cells join."""
+    rows, columns = linked.any(1), linked.any(0)  # not reached so far
+    r_out, c_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for root in np.flatnonzero(rows):
+        edge = np.array([root])[rows[root : root + 1]]
+        rows[root] = False
+        while len(edge):
+            free = np.flatnonzero(columns)
+            near = linked[np.ix_(edge, free)]
+            hit = near.any(0)
+            new = free[hit]
+            if not len(new):
+                break
+            r_out.append(edge[near[:, hit].argmax(0)])
+            c_out.append(new)
+            columns[new] = False
+            free = np.flatnonzero(rows)
+            near = linked[np.ix_(free, new)]
+            hit = near.any(1)
+            edge = free[hit]
+            r_out.append(edge)
+            c_out.append(new[near[hit].argmax(1)])
+            rows[edge] = False
+    return np.concatenate(r_out), np.concatenate(c_out)
+
+
+def tile_links(sides: tuple[list, list], similarity: float) -> tuple[list[int], list[int]]:
+    """Links between the sets (key, members) of one side and the other, or among those of the first alone; as few as join what all of them join."""
+    if not sides[0]:
+        return [], []
+    one, other = sides[0], sides[1] or sides[0]
+    both = in_common([h for _, h in one], [h for _, h in other]).astype(np.int64)
+    m, n = (np.array([len(h) for _, h in x]) for x in (one, other))
+    i, j = forest(both / (m[:, None] + n[None, :] - both) >= similarity)
+    pairs = [(one[k][0], other[e][0]) for k, e in zip(i.tolist(), j.tolist())]
+    pairs = [p for p in pairs if p[0] != p[1]]
+    return [min(p) for p in pairs], [max(p) for p in pairs]
 
 
 def close(pairs: DataFrame, each: DataFrame, similarity: float = SIMILAR) -> DataFrame:
@@ -396,14 +512,20 @@ def close(pairs: DataFrame, each: DataFrame, similarity: float = SIMILAR) -> Dat
 
 
 def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows by group: first the sets that the group holds, then sets to compare with some of them."""
-    group, held = None, {}
+    """Rows by group: first the sets that the group holds, then sets to compare with some of them; where s < 0, the two sides of a tile."""
+    group, held, sides = None, {}, ([], [])
     for batch in batches:
         a, b = [], []
-        for m, s, key, others, x in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4)), batch.column(5)):
+        for m, s, role, key, others, x in zip(*(batch.column(k).to_pylist() for k in range(5)), batch.column(5)):
             if (m, s) != group:
-                group, held = (m, s), {}
+                more = tile_links(sides, similarity)
+                a += more[0]
+                b += more[1]
+                group, held, sides = (m, s), {}, ([], [])
             h = np.frombuffer(x.as_py(), np.uint64)
+            if s < 0:
+                sides[role].append((key, h))
+                continue
             if others is None:
                 held[key] = h
                 continue
@@ -414,11 +536,13 @@ def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
                     a.append(k)
                     b.append(key)
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    a, b = tile_links(sides, similarity)
+    yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
     trim()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILAR) -> DataFrame:
-    """The pairs (a, b) whose sets (key, hashes) have this Jaccard similarity.
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILAR, crowds: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) whose sets (key, hashes) have this Jaccard similarity; of crowds, which are tiles(), links that join what all of theirs join.
 
     Pairs are grouped by the least neighbour of ``a``, which members of a dense group share, so a set travels once
     to its group however many pairs it is in. Groups with many ``a`` are cut into parts that hold HELD sets each.
@@ -431,7 +555,8 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILAR) ->
     rows = checkpoint(rows.select("m", "s", "a", "b"))
     left = rows.select("m", "s", F.lit(0).alias("role"), F.col("a").alias("key"), F.lit(None).cast("array<long>").alias("others")).distinct()
     right = rows.groupBy("m", "s", "b").agg(F.collect_list("a").alias("others")).select("m", "s", F.lit(1).alias("role"), F.col("b").alias("key"), "others")
-    met = left.unionByName(right).join(sets, "key").select("m", "s", "role", "key", "others", "hashes")
+    met = left.unionByName(right)
+    met = (met if crowds is None else met.unionByName(crowds)).join(sets, "key").select("m", "s", "role", "key", "others", "hashes")
     met = met.repartition(partitions(pairs.sparkSession), "m", "s").sortWithinPartitions("m", "s", "role")
     return met.mapInArrow(functools.partial(_verify, similarity=similarity), "a long, b long")
 
@@ -440,10 +565,17 @@ def similar_links(each: DataFrame, sets: Callable[[DataFrame], DataFrame], simil
     """(a, b): links of the distinct sets ``key`` whose Jaccard similarity is at least this, and no others.
 
     Fingerprints only discard candidates that are far below; the sets themselves decide. ``sets`` gives (key, hashes) for a table of keys.
+    Where more than CROWD sets share a member of their prefixes, neither their pairs nor all of their links are listed, but
+    all pairs are compared, and enough links come back to join what all links join.
     """
-    pairs = checkpoint(close(meeting(each, similarity), each, similarity))
+    met = checkpoint(_met(each, similarity, CROWD))
+    pairs = checkpoint(close(met.where("n = 0").select("a", "b").distinct(), each, similarity))
+    members = met.where("n > 0").select(F.col("a").alias("key"), F.col("b").alias("size"), "token", "n")
+    keys, crowds = pairs.select(F.explode(F.array("a", "b")).alias("key")), None
+    if not members.isEmpty():
+        keys, crowds = keys.unionByName(members.select("key")), tiles(members, similarity)
     release(each.sparkSession)
-    return verified(pairs, sets(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()), similarity)
+    return verified(pairs, sets(keys.distinct()), similarity, crowds)
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, similarity: float = SIMILAR) -> DataFrame:
