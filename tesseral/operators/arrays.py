@@ -6,7 +6,8 @@ An array is a DataFrame of cells ``(i0 … ik, value)``; where one row per first
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,9 @@ from pyspark.sql import types as T
 
 from .rows import coordinates, in_slice, slice_of
 
+#: Cells that travel to the driver as one row of the iterators.
+BLOCK = 1 << 12
+
 
 def axes(n: int) -> list[str]:
     return [f"i{k}" for k in range(n)]
@@ -175,13 +179,46 @@ class NdArray:
         return NdArray(self.df.where(F.col(f"i{e}") < size), shape, self.dflt, e, self.sparse or size > self.shape[e])
 
     def iterrows(self, start=None, stop=None, step=None) -> Iterator[Any]:
-        """The parts along the first axis, as NumPy arrays."""
+        """The parts along the first axis, as NumPy arrays. Their values go to the driver, in blocks without indices; ``map_rows`` iterates in the tasks."""
         part = self.read(start, stop, step)
-        rows = part.cells().groupBy("i0").agg(F.array_sort(F.collect_list(F.struct(*axes(part.ndim), "value"))).alias("v")).orderBy("i0").toLocalIterator()
+        shape = part.shape[1:]
+        width = math.prod(shape)
+        cells = F.array_sort(F.collect_list(F.struct(*axes(part.ndim), "value")))
+        blocks = part.cells().groupBy(F.expr(f"i0 div {max(1, BLOCK // max(1, width))}").alias("b")).agg(cells.alias("c"))
+        rows = blocks.select("b", F.transform("c", lambda c: c["value"]).alias("v"), F.size(F.array_distinct(F.transform("c", lambda c: c["i0"]))).alias("n")).orderBy("b").drop("b").toLocalIterator()
         import numpy as np
 
         for r in rows:
-            yield np.array([c["value"] for c in r["v"]]).reshape(part.shape[1:])
+            values = r["v"]
+            if len(values) != r["n"] * width:
+                raise ValueError(f"{len(values)} cells do not fill {r['n']} parts of shape {shape}")
+            for k in range(0, len(values), width):
+                yield np.array(values[k : k + width]).reshape(shape)
+
+    def map_rows(self, each: Callable[[Iterator[Any]], Iterator[tuple]], schema: str) -> DataFrame:
+        """The records that ``each`` yields in every task from its parts along the first axis: values (None for null) of one axis, NumPy arrays of more.
+
+        Every part is met once, in no set order, and nothing is sent to the driver. ``each`` travels to the workers.
+        """
+        kind, shape, df = T._parse_datatype_string(schema), self.shape[1:], self.cells()
+        if shape:
+            cells = F.array_sort(F.collect_list(F.struct(*axes(self.ndim), "value")))
+            df = df.groupBy("i0").agg(cells.alias("c")).select(F.transform("c", lambda c: c["value"]).alias("value"))
+
+        def task(batches):  # nested: it needs no package on the workers
+            from itertools import islice
+
+            import numpy as np
+            import pyarrow as pa
+            from pyspark.sql.pandas.types import to_arrow_schema
+
+            values = (v for b in batches for v in b.column(0).to_pylist())
+            records = iter(each((np.array(v).reshape(shape) for v in values) if shape else values))
+            into = to_arrow_schema(kind)
+            while some := list(islice(records, 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), into)], schema=into)
+
+        return df.select("value").mapInArrow(task, kind)
 
     def to_numpy(self) -> Any:
         import numpy as np

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import inspect
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -119,6 +119,10 @@ class Expr:
     def __iter__(self) -> Iterator[Any]:
         return self.eval().iterrows()
 
+    def map_rows(self, each: Callable[[Iterator[Any]], Iterator[tuple]], schema: str) -> DataFrame:
+        """Iterates over the outcome in the tasks; see ``NdArray.map_rows``."""
+        return self.eval().map_rows(each, schema)
+
 
 def over_blocks(df: DataFrame, index: str, block: str, text: str, name: str = "x", out: str = "y") -> DataFrame:
     """An expression over nested arrays of rows, element by element, without exploding them."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import NdArray
+from .expr import Expr
 from .rows import NROW
 
 
@@ -38,6 +40,37 @@ def group_sum(df: DataFrame, key: str, value: Column, out: str = "s") -> DataFra
     return df.groupBy(key).agg(F.sum(value).alias(out))
 
 
+def exact_sum(values: NdArray | Expr, out: str = "s") -> DataFrame:
+    """The sum of the values along one axis, rounded once, so that it does not depend on tasks and order; null without values.
+
+    Each task iterates over its values and passes on a few doubles that have exactly their sum.
+    """
+
+    def partial_sums(rows):  # nested, as map_rows wants it
+        import math
+        from itertools import islice
+
+        numbers, parts, odd, seen = (float(v) for v in rows if v is not None), [], 0.0, False
+        while some := list(islice(numbers, 8192)):
+            seen = True
+            if not math.isfinite(sum(some)):
+                odd += sum(v for v in some if not math.isfinite(v))
+                some = [v for v in some if math.isfinite(v)]
+            some, parts = parts + some, []
+            while rest := math.fsum([*some, *(-p for p in parts)]):
+                parts.append(rest)
+        yield from ((p,) for p in [*parts, odd] if seen)
+
+    @F.udf("double")
+    def total(parts):
+        import math
+
+        odd = [p for p in parts if not math.isfinite(p)]
+        return (sum(odd) if odd else math.fsum(parts)) if parts else None
+
+    return values.map_rows(partial_sums, "part double").agg(F.collect_list("part").alias("parts")).select(total("parts").alias(out))
+
+
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct()
 

@@ -275,10 +275,7 @@ def expr_append(spark, sf):
 
 @query("select sum(o_totalprice / 2) as total from orders where o_orderkey >= 0")
 def expr_iterate(spark, sf):
-    values = (float(x) for x in Expr("x / 2", {"x": table(spark, sf, "orders").cols.o_totalprice}))
-    import math
-
-    return small(spark, [(math.fsum(values),)], "total double").select(F.col("total"))
+    return recipes.exact_sum(Expr("x / 2", {"x": table(spark, sf, "orders").cols.o_totalprice}), "total")
 
 
 @query(f"select vec_id, j, case when vec_id < 5 and j % 4 = 0 then 0.0 else v end as v from {_CELLS} where vec_id < 9")

@@ -1,7 +1,12 @@
+import math
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tesseral import Expr, NdArray, RaggedArray, Table
+from tesseral.operators.recipes import exact_sum
+from tesseral.plans.registry import QUERIES
 
 A = np.arange(60).reshape(5, 4, 3)
 
@@ -84,3 +89,53 @@ def test_expressions(spark, a):
         Expr("a + b", {"a": a, "b": NdArray.from_numpy(spark, np.zeros(2))}).eval()
     with pytest.raises(TypeError):
         Expr("r + 1", {"r": RaggedArray.from_lists(spark, [[1]])})
+
+
+def sent(spark):
+    """Bytes that tasks have sent to the driver so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(k).resultSize() for k in range(stages.size()))
+
+
+def test_iteration_in_tasks_sends_no_rows(spark, tmp_path):
+    n = 100_000
+    prices = spark.range(n, numPartitions=1).select(F.col("id").alias("o_orderkey"), ((F.col("id") * 7919) % 100_003 / 7 + 0.1).alias("o_totalprice"))
+    prices.write.parquet(f"{tmp_path}/orders.parquet")
+    want = math.fsum(r[0] / 2 for r in prices.select("o_totalprice").collect())
+    before = sent(spark)
+    (row,) = QUERIES["expr_iterate"](spark, str(tmp_path)).collect()
+    assert row["total"] == want
+    assert sent(spark) - before < n
+
+
+def test_iteration_on_the_driver_sends_values_only(spark):
+    n = 20_000
+    t = Table(spark.range(n, numPartitions=3).select((F.col("id") / 3).alias("x"), F.col("id").alias("nrow")))
+    before = sent(spark)
+    assert [float(v) for v in Expr("x * 2", {"x": t.cols.x})] == [k / 3 * 2 for k in range(n)]
+    assert sent(spark) - before < 20 * n
+
+
+def test_iteration_over_blocks(spark):
+    wide = np.arange(9000.0).reshape(3, 1500, 2)
+    a = NdArray.from_numpy(spark, wide)
+    assert [p.tolist() for p in a.iterrows()] == wide.tolist() and [p.tolist() for p in a.iterrows(1, 3, 2)] == wide[1:3:2].tolist()
+    long = NdArray.from_numpy(spark, np.arange(5000))
+    assert [int(v) for v in long.iterrows(10, None, 3)] == list(range(10, 5000, 3))
+    gap = NdArray(a.df.where("i0 != 1 or i1 > 0"), a.shape)
+    with pytest.raises(ValueError):
+        list(gap.iterrows())
+    got = a.map_rows(lambda parts: ((float(p[0, 0]), float(p.sum())) for p in parts), "first double, total double").orderBy("first").collect()
+    assert [tuple(r) for r in got] == [(float(p[0, 0]), float(p.sum())) for p in wide]
+
+
+@pytest.mark.parametrize(
+    ("values", "want"),
+    [([1e16, 1.0, -1e16, None, 1e-30] * 5000, math.fsum([1e16, 1.0, -1e16, 1e-30] * 5000)), ([0.1] * 30_000, math.fsum([0.1] * 30_000)), ([1e308, -1e308, 5e-324], 5e-324), ([0.0, -0.0], 0.0), ([None, None], None), ([], None)]
+    + [([1.0, math.inf], math.inf), ([math.inf, 2.0, -math.inf], math.nan), ([math.nan, None], math.nan)],
+)
+def test_exact_sum(spark, values, want):
+    a = NdArray(spark.createDataFrame(list(enumerate(values)), "i0 long, value double").repartition(3), (len(values),))
+    (row,) = exact_sum(a).collect()
+    assert row["s"] == want or (want is not None and math.isnan(want) and math.isnan(row["s"]))
